@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, simhash
+from folio.llm import exact_dedup, packing, simhash
 from folio.llm.common import documents, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,7 +26,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.first_of_groups(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("near_dedup", near)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, in sequences of at most 4096 tokens."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("near_dedup", near), ("best_fit_packing", pack)]
 
 #: SQL expresses neither fingerprints nor best-fit packing; the tests hold run() against brute force.
 ORACLE_SQL = None

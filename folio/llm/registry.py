@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, simhash
+from folio.llm import exact_dedup, media, packing, pieces, simhash, token_files
 
-MODULES = [exact_dedup, simhash]
+MODULES = [packing, media, token_files, exact_dedup, pieces, simhash]
 
 
 def queries() -> dict:
