@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, packing, simhash
+from folio.llm import exact_dedup, language, packing, simhash
 from folio.llm.common import documents, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    return language.with_language(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.unique_rows(docs)
@@ -31,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("near_dedup", near), ("best_fit_packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("language_id", identified), ("exact_dedup", exact), ("near_dedup", near), ("best_fit_packing", pack)]
 
 #: SQL expresses neither fingerprints nor best-fit packing; the tests hold run() against brute force.
 ORACLE_SQL = None

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, media, packing, pieces, simhash, token_files
+from folio.llm import exact_dedup, language, media, packing, pieces, simhash, token_files
 
-MODULES = [packing, media, token_files, exact_dedup, pieces, simhash]
+MODULES = [packing, media, token_files, exact_dedup, pieces, simhash, language]
 
 
 def queries() -> dict:
