@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, language, media, packing, pieces, simhash, token_files
+from folio.llm import exact_dedup, language, licences, media, packing, pieces, sharding, simhash, token_files, url_filter
 
-MODULES = [packing, media, token_files, exact_dedup, pieces, simhash, language]
+MODULES = [packing, media, sharding, licences, url_filter, token_files, exact_dedup, pieces, simhash, language]
 
 
 def queries() -> dict:
