@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from folio.operators import quality
+
+MODULES = [quality]
 
 
 def queries() -> dict:
