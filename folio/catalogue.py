@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.operators import quality
+from folio.operators import quality, text
 
-MODULES = [quality]
+MODULES = [quality, text]
 
 
 def queries() -> dict:

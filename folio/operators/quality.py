@@ -7,18 +7,6 @@ from folio.plans.sql import Catalogue, view
 
 C = Catalogue()
 
-#: Utterances as attributed segments; narrative lines are the narrator's, some thoughts nobody's.
-view(
-    "segments",
-    """
-select conv_id, turn, role, cast(conv_id as $string) || '-' || cast(turn as $string) as segment_id,
-  case when turn % 4 = 2 then 'narrator' when conv_id % 5 = 0 and turn % 4 = 3 then 'AMBIGUOUS'
-    when conv_id % 11 = 0 and turn % 4 = 1 then 'UNFIXABLE' else speaker end as speaker,
-  text, case turn % 4 when 0 then 0.95e0 when 1 then 0.9e0 when 2 then 0.85e0 else 0.6e0 end as confidence
-from {utterances}""",
-)
-
-
 def segment_score(text: str, speaker: str) -> str:
     """Score of a segment by length and speaker, from 0.8."""
     return f"""least(1e0, 0.8e0 * case when length({text}) < 10 then 0.5e0 when length({text}) > 1000 then 0.9e0 else 1e0 end

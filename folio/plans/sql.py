@@ -45,6 +45,10 @@ WORDS = {
     "micros": ("unix_micros", "epoch_us"),
     "ts": ("timestamp", "timestamp"),
     "ntz": ("timestamp_ntz", "timestamp"),
+    "ref1": ("$1", "\\1"),
+    "ref2": ("$2", "\\2"),
+    "lb": ("\\\\x5B", "\\x5B"),
+    "rb": ("\\\\x5D", "\\x5D"),
     "strlen": ("octet_length", "strlen"),
 }
 
