@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.operators import quality, text
+from folio.operators import attribution, quality, routing, text
 
-MODULES = [quality, text]
+MODULES = [quality, text, attribution, routing]
 
 
 def queries() -> dict:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-QUOTE = "chr(39)"
-
 
 def any_of(text: str, parts: Iterable[str]) -> str:
     """Does the text hold any of the parts? (Plain substrings, no word boundaries.)"""
@@ -18,9 +17,9 @@ def hits(text: str, parts: Iterable[str]) -> str:
 
 
 def literal(text: str) -> str:
-    """A string literal; quotes come from chr(39), as dialects differ in how they escape them."""
-    parts = [f"'{p}'" for p in text.split("'")]
-    return parts[0] if len(parts) == 1 else "(" + f" || {QUOTE} || ".join(parts) + ")"
+    """A string literal; quotes and braces come from chr, as dialects and templates give them meanings."""
+    parts = [f"'{p}'" if len(p) != 1 or p not in "'{}" else f"chr({ord(p)})" for p in re.split("(['{}])", text)]
+    return parts[0] if len(parts) == 1 else "(" + " || ".join(parts) + ")"
 
 
 def word(words: str) -> str:

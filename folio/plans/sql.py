@@ -49,6 +49,7 @@ WORDS = {
     "ref2": ("$2", "\\2"),
     "lb": ("\\\\x5B", "\\x5B"),
     "rb": ("\\\\x5D", "\\x5D"),
+    "lastnulls": (") ignore nulls", " ignore nulls)"),
     "strlen": ("octet_length", "strlen"),
 }
 
