@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import attribution, quality, routing, text
+from folio.operators import attribution, events, quality, routing, sequential, text
+from folio.streaming import streams
 
-MODULES = [quality, text, attribution, routing]
+MODULES = [quality, text, attribution, routing, events, sequential, streams]
 
 
 def queries() -> dict:
