@@ -21,11 +21,11 @@ C.add(
     "rate_5m",
     f"select event_type, {floor_to('us', 5)} as start_us, count(*) as events, count(*) / 300e0 as per_second from {{timed}} group by event_type, {floor_to('us', 5)}",
 )
+_slid = "select event_type, start_us, count(*) as events, count(*) / 300e0 as per_second from (select event_type, {start} as start_us from {{timed}} {view}) t group by event_type, start_us"
 C.add(
     "sliding_rate",
-    f"""
-select event_type, {floor_to("us", 1)} - back * {MINUTE} as start_us, count(*) as events, count(*) / 300e0 as per_second
-from {{timed}} cross join (values (0), (1), (2), (3), (4)) as b(back) group by event_type, {floor_to("us", 1)} - back * {MINUTE}""",
+    _slid.format(start=f"{floor_to('us', 1)} - back * {MINUTE}", view="lateral view explode(array(0, 1, 2, 3, 4)) as back"),
+    _slid.format(start=f"{floor_to('us', 1)} - unnest([0, 1, 2, 3, 4]) * {MINUTE}", view=""),
     doc="Windows of five minutes, one a minute: an event is in five of them.",
 )
 #: Bounds of the buckets of processing times, in seconds.
@@ -136,8 +136,8 @@ view("lifetimes", "select kind, cast(seconds as bigint) as seconds from (values
 C.add(
     "cache_live",
     """
-with e as (select event_id, us, case user_id % 5 when 0 then 'llm' when 1 then 'embedding' when 2 then 'segment' when 3 then 'quality' else 'analysis' end as kind from {timed}), n as (select max(us) as now_us from {timed})
-select e.kind, count(*) as entries, cast(sum(case when e.us + l.seconds * 1000000 > n.now_us then 1 else 0 end) as bigint) as live from e join lifetimes_ l on e.kind = l.kind join n on 1 = 1 group by e.kind""".replace("lifetimes_", "{lifetimes}"),
+with e as (select event_id, us, case user_id % 5 when 0 then 'llm' when 1 then 'embedding' when 2 then 'segment' when 3 then 'quality' else 'analysis' end as kind from {timed})
+select e.kind, count(*) as entries, cast(sum(case when e.us + l.seconds * 1000000 > (select max(us) from {timed}) then 1 else 0 end) as bigint) as live from e join lifetimes_ l on e.kind = l.kind group by e.kind""".replace("lifetimes_", "{lifetimes}"),
 )
 C.add(
     "health_rollup",

@@ -196,7 +196,7 @@ C.add(
 select doc_id, greatest(5e0, least(300e0, 60e0 * case complexity when 'simple' then 0.7e0 when 'medium' then 1e0 when 'complex' then 1.5e0 when 'batch' then 2e0 else 3e0 end
   * case when size > 50000 then 2e0 when size > 10000 then 1.5e0 when size > 1000 then 1.2e0 else 1e0 end
   * case when usual > 48e0 then 1.5e0 when usual > 30e0 then 1.2e0 else 0.9e0 end)) as timeout
-from {{characteristics}} c join (select avg(response_time) as usual from {{requests}}) r on 1 = 1""",
+from (select *, (select avg(response_time) from {{requests}}) as usual from {{characteristics}}) c""",
 )
 #: Pools and time limits by complexity.
 POOLS = [("simple", "fast", "primary", 30), ("medium", "primary", "fast", 60), ("complex", "primary", "fallback", 120), ("batch", "fast", "primary", 300)]
