@@ -91,25 +91,30 @@ def words(texts: list[str]) -> Words:
     points = np.concatenate([x for p in parts for x in (gap, p, gap)]) if parts else gap[:0]
     kind = classes()[points]
     inside = kind > 0
-    points = np.where(inside, points, 0)
+    points = np.where(inside, points, 0).astype(np.uint64)
     first = np.flatnonzero(inside & ~np.roll(inside, 1))
     last = np.flatnonzero(inside & ~np.roll(inside, -1))
     offset = np.cumsum(sizes) - sizes
     text = np.searchsorted(offset, first, "right") - 1
-    of = np.cumsum(np.bincount(first, minlength=len(points))) - 1  # the word that a place is in, or follows
-    mixed = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    grams, gram_word = [], []
-    for n in ORDERS:
-        h = np.zeros(max(0, len(points) - n + 1), np.uint64)
-        ok = np.ones(len(h), bool)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + (mixed[k : k + len(h)] >> np.uint64(17))
-            if 0 < k < n - 1:
-                ok &= inside[k : k + len(h)]
-        ok &= inside[: len(h)] | inside[n - 1 : n - 1 + len(h)] if n > 1 else inside[: len(h)]
-        at = np.flatnonzero(ok)
-        grams.append(((h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1))
-        gram_word.append(of[at + 1] if n > 1 else of[at])
+    of = np.cumsum(np.bincount(first, minlength=len(points)), dtype=np.int32) - 1  # the word that a place is in, or follows
+    mixed = points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)
+    size, grams, gram_word = len(points), [], []
+    h, within = mixed, None  # of n-grams by their first place; are all places but the first and last inside?
+    for n in range(2, max(ORDERS) + 1):
+        room = max(0, size - n + 1)
+        h = h[:room] * np.uint64(0x100000001B3) + mixed[n - 1 : n - 1 + room]
+        ok = inside[:room] | inside[n - 1 : n - 1 + room]
+        if n > 2:
+            within = inside[1 : 1 + room] if within is None else within[:room] & inside[n - 2 : n - 2 + room]
+            ok = ok & within
+        if n in ORDERS:
+            at = np.flatnonzero(ok)
+            x = h[at]
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x >>= np.uint64(48)
+            grams.append(x.astype(np.int32))
+            gram_word.append(of[at + 1])
     return Words(grams, gram_word, kind[first], last - first + 1, text, first - offset[text] - 1)
 
 
@@ -138,18 +143,20 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 @dataclass
 class Model:
     languages: list[str]
-    weights: list[np.ndarray]  # by order: BUCKETS by languages
+    weights: list[np.ndarray]  # by order: languages by BUCKETS
     allowed: np.ndarray  # scripts by languages
 
     def scores(self, w: Words) -> np.ndarray:
         """Words by languages."""
         n = len(w.script)
-        found = np.zeros((n, len(self.languages)), np.float64)
+        found = np.zeros((len(self.languages), n), np.float64)
         for table, g, gw in zip(self.weights, w.grams, w.gram_word):
             if len(g):
                 at = np.flatnonzero(np.diff(gw, prepend=-1))
-                found[gw[at]] += np.add.reduceat(table[g], at, axis=0)
-        return found + np.where(self.allowed, 0.0, OUT)[w.script]
+                own = gw[at]
+                for k, weights in enumerate(table):
+                    found[k, own] += np.add.reduceat(weights[g], at)
+        return found.T + np.where(self.allowed, 0.0, OUT)[w.script]
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -172,27 +179,32 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for k in range(len(ORDERS)):
         own = counts[k * BUCKETS : (k + 1) * BUCKETS] + SMOOTH
         logs = np.log(own / own.sum(axis=0))
-        weights.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
+        weights.append(np.ascontiguousarray((logs - logs.mean(axis=1, keepdims=True)).T, np.float32))
     scripts = counts[len(ORDERS) * BUCKETS :]
     allowed = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
     return Model(langs, weights, allowed | ~allowed.any(axis=1, keepdims=True))
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
-    """The labels with the highest sum of scores, less ``switch`` for each change of label."""
-    n, k = scores.shape
-    best, back = scores[0].copy(), np.zeros((n, k), np.int32)
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        moved = best[top] - switch > best
-        back[t] = np.where(moved, top, own)
-        best = np.where(moved, best[top] - switch, best) + scores[t]
-    path = np.zeros(n, np.int32)
-    path[-1] = int(best.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """The labels with the highest sum of scores, less ``switch`` for each change of label.
+
+    Numbers of a word are a few Python floats; the sums are kept, and the way back is found from them.
+    """
+    rows = scores.tolist()
+    best = rows[0]
+    sums = [best]
+    for row in rows[1:]:
+        least = max(best) - switch
+        best = [(b if b >= least else least) + x for b, x in zip(best, row)]
+        sums.append(best)
+    path, label = [0] * len(rows), 0
+    for t in range(len(rows) - 1, -1, -1):
+        best = sums[t]
+        top = max(best)
+        if t == len(rows) - 1 or best[label] < top - switch:
+            label = best.index(top)
+        path[t] = label
+    return np.array(path, np.int32)
 
 
 def labels(scores: np.ndarray, switch: float) -> np.ndarray:
