@@ -52,8 +52,8 @@ select model_id, max(case when place = floor(n * 0.5e0) then response_time end)
 C.add(
     "running_latency",
     """
-select request_id, instance_id, round(avg(response_time) over (partition by instance_id, date_trunc('day', ts) order by ts, request_id rows between unbounded preceding and current row), 9) as mean_so_far,
-  round(avg(response_time) over (partition by instance_id, date_trunc('day', ts) order by ts, request_id rows between 99 preceding and current row), 9) as mean_of_100 from {requests}""",
+select request_id, instance_id, avg(cast(round(response_time * 1000000e0) as bigint)) over (partition by instance_id, date_trunc('day', ts) order by ts, request_id rows between unbounded preceding and current row) as mean_so_far_us,
+  avg(cast(round(response_time * 1000000e0) as bigint)) over (partition by instance_id, date_trunc('day', ts) order by ts, request_id rows between 99 preceding and current row) as mean_of_100_us from {requests}""",
     doc="By instance and day, so that no frame spans an instance's whole history.",
 )
 C.add(
