@@ -5,9 +5,9 @@ vocabulary, ordered by score (higher first) and place (left first); the best pai
 new neighbours are put on the agenda, until it is empty. Characters outside the vocabulary become
 byte pieces.
 
-No piece has a space mark after another character, and a line end is never part of a piece, so no
-join crosses into a run of spaces or a line end from the left: a text's ids are those of its units
-(a run of spaces with the word after it, or a line end). Each Python worker keeps the units it has
+No piece has a space mark after another character, a full stop or comma after a Latin letter, or a line end,
+so no join crosses there: a text's ids are those of its units (a run of spaces with the word after it,
+what a stop or comma starts after a word, or a line end). A vocabulary with such pieces is refused. Each Python worker keeps the units it has
 seen, in two generations of a bounded size; the agenda runs for new ones. All new units of an Arrow
 batch are checked against the sentencepiece library: any difference raises an error.
 """
@@ -20,6 +20,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ from folio.llm.common import documents, pick, slices
 from folio.llm.tokens import Recent, held
 
 MARK = "▁"
-UNITS_KEPT = 250_000
-UNIT = re.compile(r"\n| *[^ \n]+| +")
+UNITS_KEPT = 300_000
+TABLE_WIDTH, TABLE_ROWS = 32, 1024
+NEVER = 1 << 40
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+UNIT = re.compile(rf"\n| *{LETTER}+(?=[.,])| *[^ \n]+| +")
+ENDED = re.compile(rf"{LETTER}[.,]")
 
 
 def default_path() -> str:
@@ -48,37 +53,46 @@ class PieceCoder:
         n = self.library.get_piece_size()
         own = [i for i in range(n) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
         self.ids = {self.library.id_to_piece(i): i for i in own}
-        self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        places = {x: r for r, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {p: places[x] for p, x in scores.items()}
+        self.known = {p for p in self.ids if len(p) == 1}
+        pairs = [(self.ids[p[:i]], self.ids[p[i:]], self.ranks[p], self.ids[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
+        pairs = np.array(sorted((a << 32 | b, r, i) for a, b, r, i in pairs) or [(-1, 0, 0)], np.int64)
+        self.pair_keys, self.pair_ranks, self.pair_ids = np.ascontiguousarray(pairs.T)
         self.bytes = {int(self.library.id_to_piece(i)[3:-1], 16): i for i in range(n) if self.library.is_byte(i)}
         self.surface = {i: p.replace(MARK, " ") for p, i in self.ids.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = self.library.unk_id()
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+        if any(MARK in p.lstrip(MARK) or "\n" in p or ENDED.search(p) for p in self.ids):
             raise ValueError("this vocabulary has pieces that cross units")
         self.units = Recent(most)
 
     def agenda(self, unit: str) -> list[int]:
-        """The ids of one unit, its spaces given as spaces."""
-        symbols: list[str | None] = list(unit.replace(" ", MARK))
-        before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        todo: list[tuple[float, int, int, str]] = []
-
-        def propose(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (joined := symbols[i] + symbols[j]) in self.scores:
-                heapq.heappush(todo, (-self.scores[joined], i, j, joined))
+        """The ids of one unit, its spaces given as spaces.
 
-        for i in range(len(symbols) - 1):
-            propose(i, i + 1)
+        An entry of the agenda is a number: the rank of the joined piece's score, then the place of its
+        left symbol. An entry whose pair has changed meanwhile no longer has that rank and is passed over.
+        """
+        symbols: list[str | None] = list(unit.replace(" ", MARK))
+        n, rank = len(symbols), self.ranks.get
+        todo = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
+        heapq.heapify(todo)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while todo:
-            _, i, j, joined = heapq.heappop(todo)
-            if symbols[i] is None or symbols[j] is None or after[i] != j or symbols[i] + symbols[j] != joined:
-                continue  # one of the two has joined another symbol meanwhile
+            entry = heapq.heappop(todo)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if symbols[i] is None or j == n or rank(joined := symbols[i] + symbols[j]) != entry >> 32:
+                continue
             symbols[i], symbols[j] = joined, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            propose(before[i], i)
-            propose(i, after[i])
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(joined + symbols[k])) is not None:
+                    heapq.heappush(todo, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] + joined)) is not None:
+                heapq.heappush(todo, r << 32 | h)
         found: list[int] = []
         for s in symbols:
             if s is None:
@@ -91,6 +105,54 @@ class PieceCoder:
                 found.append(self.unknown)
         return found
 
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of ids: the rank and the id of the joined piece; rank NEVER where there is none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == key
+        return np.where(hit, self.pair_ranks[at], NEVER), self.pair_ids[at]
+
+    def _agenda_table(self, units: list[str]) -> list[list[int]]:
+        """The agenda of many short units of known characters at once: a row a unit, with the rank of each
+        adjacent pair by its place. Every round joins the best pair of each row, of equal ones the left one."""
+        n, width = len(units), max(map(len, units))
+        ids = np.full((n, width), -1, np.int64)
+        flat = np.array([self.ids[c] for u in units for c in u], np.int64)
+        ids[np.arange(width) < np.array([len(u) for u in units])[:, None]] = flat
+        nothing, never = np.full((n, 1), -1), np.full((n, 1), NEVER)
+        ranks = np.concatenate([self._joined(ids[:, :-1], ids[:, 1:])[0], never], axis=1)
+        places, rows, out = np.arange(width), np.arange(n), [[]] * n
+        while True:
+            own = np.arange(len(rows))
+            best = ranks.argmin(axis=1)
+            live = ranks[own, best] < NEVER
+            for k, row in zip(rows[~live].tolist(), ids[~live].tolist()):
+                out[k] = row[: row.index(-1)] if -1 in row else row
+            if not live.any():
+                return out
+            ids, ranks, best, rows = ids[live], ranks[live], best[live], rows[live]
+            own = own[: len(rows)]
+            joined = self._joined(ids[own, best], ids[own, best + 1])[1]
+            moved = places + (places > best[:, None])
+            ids = np.take_along_axis(np.concatenate([ids, nothing[: len(rows)]], axis=1), moved, axis=1)
+            ranks = np.take_along_axis(np.concatenate([ranks, never[: len(rows)]], axis=1), moved, axis=1)
+            ids[own, best] = joined
+            after = np.where(best + 1 < width, ids[own, np.minimum(best + 1, width - 1)], -1)
+            ranks[own, best] = self._joined(joined, after)[0]
+            left = np.maximum(best - 1, 0)
+            ranks[own, left] = np.where(best > 0, self._joined(ids[own, left], joined)[0], ranks[own, left])
+
+    def agendas(self, units: list[str]) -> list[list[int]]:
+        """The ids of units: short ones of known characters in tables, the others one by one."""
+        given = [u.replace(" ", MARK) for u in units]
+        short = sorted((len(u), k) for k, u in enumerate(given) if len(u) <= TABLE_WIDTH and self.known.issuperset(u))
+        out: list = [None] * len(units)
+        for i in range(0, len(short), TABLE_ROWS):
+            part = [k for _, k in short[i : i + TABLE_ROWS]]
+            for k, ids in zip(part, self._agenda_table([given[k] for k in part])):
+                out[k] = ids
+        return [self.agenda(u) if ids is None else ids for u, ids in zip(units, out)]
+
     def check(self, units: list[str], found: list[list[int]]) -> None:
         """Hold units' ids against the library, which puts a space before every text.
 
@@ -109,13 +171,14 @@ class PieceCoder:
             parts.append(bytes(self.byte_of[i] for i in run).decode(errors="replace") if is_byte else "".join(self.surface.get(i, " ⁇ ") for i in run))
         return "".join(parts).removeprefix(" ")
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[str, int]]]:
-        """Each text's units as (their ids in decimals joined by commas, number of ids)."""
+    def encode(self, texts: list[str | None]) -> list[list[tuple[str, list[int]]]]:
+        """Each text's units as (their ids in decimals joined by commas, their ids)."""
         rows = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        self.units.turn()
         todo = self.units.missing(set(itertools.chain.from_iterable(rows)))
-        found = [self.agenda(u) for u in todo]
+        found = self.agendas(todo)
         self.check(todo, found)
-        self.units.new.update((u, (",".join(map(str, i)), len(i))) for u, i in zip(todo, found))
+        self.units.new.update((u, (",".join(map(str, i)), i)) for u, i in zip(todo, found))
         get = self.units.new.__getitem__
         return [list(map(get, r)) for r in rows]
 
@@ -128,8 +191,9 @@ def _coded(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in slices(batches):
-            ids = [",".join([u[0] for u in units]) for units in own.encode(b["text"].to_pylist())]
-            numbers = [list(map(int, x.split(","))) if x else [] for x in ids]
+            coded = own.encode(b["text"].to_pylist())
+            ids = [",".join([u[0] for u in units]) for units in coded]
+            numbers = [list(itertools.chain.from_iterable([u[1] for u in units])) for units in coded]
             texts = own.library.decode(numbers)
             if keep:
                 yield pa.record_batch([b["doc_id"], pa.array(numbers, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
