@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import itertools
 import sys
+import unicodedata
 
 import numpy as np
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 450_000
 END_ID = 1
+MARKS = b".,;:!?"
 
 
 def default_path() -> str:
@@ -37,10 +39,13 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` without a value; the others are safe in ``new`` from now on."""
+    def turn(self) -> None:
+        """Between batches: make the entries so far the old generation if they are many."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` without a value; the others are safe in ``new`` from now on."""
         todo = []
         for k in keys.difference(self.new):
             if k in self.old:
@@ -60,23 +65,41 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = Recent(most)
 
+    def _library(self, words: list[bytes], plain: bool) -> None:
+        """Give words to the library, thousands at a time. Plain ones are one pre-token each, so that a text
+        of them tells by its pre-tokens which ids are whose; the others are handed over one by one."""
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            given = b" ".join(part).decode() if plain else [w.decode() for w in part]
+            found = self.tokenizer.encode(given, is_pretokenized=not plain, add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right") * 4).tolist()
+            self.words.new.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _learn(self, todo: list[bytes]) -> None:
+        """Ids of new words. A single mark after a letter is a pre-token of its own, so its word is learned without it."""
+        ended = [w for w in todo if len(w) > 1 and w[-1] in MARKS and 97 <= w[-2] <= 122]
+        whole = set(todo).difference(ended)
+        whole.update(self.words.missing({w[:-1] for w in ended} | {w[-1:] for w in ended}))
+        plain = [w for w in whole if w.isalpha() or _plain(w.decode())]
+        self._library(plain, True)
+        self._library(list(whole.difference(plain)), False)
+        get = self.words.new.__getitem__
+        self.words.new.update([(w, get(w[:-1]) + get(w[-1:])) for w in ended])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         rows = [(t or "").encode().lower().split() for t in texts]
-        todo = self.words.missing(set(itertools.chain.from_iterable(rows)))
-        for i in range(0, len(todo), 8192):
-            part = todo[i : i + 8192]
-            found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            word = np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(word, np.arange(len(part)), "right").tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends):
-                self.words.new[w] = raw[4 * at : 4 * end]
-                at = end
+        self.words.turn()
+        self._learn(self.words.missing(set(itertools.chain.from_iterable(rows))))
         get = self.words.new.__getitem__
         return [b"".join(map(get, r)) for r in rows]
 
 
+def _plain(word: str) -> bool:
+    """Only letters, which the normaliser leaves alone."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 def encoder(path: str) -> WordEncoder:
     return held(("words", path), lambda: WordEncoder(path))
 
