@@ -165,11 +165,11 @@ def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keys = stored(digests(df, id_col, text_col), "digests")
     maybe = Repeats(keys).lookup()
 
-    @F.pandas_udf("sha binary, maybe boolean")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        found = [_digest(x) for x in texts]
+    @F.arrow_udf("sha binary, maybe boolean")
+    def look(texts: pa.Array) -> pa.Array:
+        found = [_digest(x) for i in range(0, len(texts), 512) for x in texts.slice(i, 512).to_pylist()]
         h = np.array([int.from_bytes(x[:8], "little", signed=True) for x in found], np.int64)
-        return pd.DataFrame({"sha": found, "maybe": maybe(h)})
+        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(maybe(h), pa.bool_())], ["sha", "maybe"])
 
     rows = rows.withColumn("look", look(c_text))
     marked = keys.mapInArrow(_marked(maybe), "doc_id long, text_sha256 binary, maybe boolean").where("maybe")

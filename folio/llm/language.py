@@ -217,17 +217,51 @@ def labels(scores: np.ndarray, switch: float) -> np.ndarray:
     return viterbi(scores, switch)
 
 
+#: Characters that are worked on at once; longer texts are cut between words, longer words anywhere.
+AT_ONCE = 1 << 18
+
+
+def _cut(text: str) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text, in parts of at most AT_ONCE characters that end between words where they can."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        end = at + AT_ONCE
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + AT_ONCE
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:]
+
+
+def _scored(model: Model, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text's words: scores, letters and places, found for some texts at a time."""
+    parts = [(k, at, part) for k, t in enumerate(texts) for at, part in _cut(t)]
+    found: list[list] = [[] for _ in texts]
+    i = 0
+    while i < len(parts):
+        j, size = i, 0
+        while j < len(parts) and (j == i or size + len(parts[j][2]) <= AT_ONCE):
+            size += len(parts[j][2])
+            j += 1
+        w = words([p for _, _, p in parts[i:j]])
+        scores, edges = model.scores(w), np.searchsorted(w.text, np.arange(j - i + 1))
+        for (k, at, _), a, b in zip(parts[i:j], edges[:-1], edges[1:]):
+            found[k].append((scores[a:b], w.letters[a:b], w.start[a:b] + at))
+        i = j
+    return [tuple(map(np.concatenate, zip(*f))) for f in found]
+
+
 def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -> list[tuple[str, float, list[dict]]]:
     """Of each text: language, share of its letters that have it, spans (start, end, lang) in characters."""
-    w = words([t or "" for t in texts])
-    scores = model.scores(w) if model.languages else None
-    edges = np.searchsorted(w.text, np.arange(len(texts) + 1))
+    if not model.languages:
+        return [(UNDETERMINED, 0.0, [])] * len(texts)
     out = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        if a == b or scores is None:
+    for scores, size, start in _scored(model, [t or "" for t in texts]):
+        if not len(scores):
             out.append((UNDETERMINED, 0.0, []))
             continue
-        path, size, start = labels(scores[a:b], switch), w.letters[a:b], w.start[a:b]
+        path = labels(scores, switch)
         by = np.bincount(path, weights=size, minlength=len(model.languages))
         cuts = np.flatnonzero(np.diff(path, prepend=-1))
         ends = [*(cuts[1:] - 1), len(path) - 1]
@@ -249,16 +283,16 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_udf(spark: SparkSession, model: Model):
-    """A function on a text column: struct of lang, score, spans."""
+def language_udf(spark: SparkSession, model: Model):
+    """A function on a text column: its language."""
     known = spark.sparkContext.broadcast(model)  # a fixed size for each language
 
-    @F.pandas_udf(f"lang string, score double, spans {SPANS}")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = []
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        found: list[str] = []
         for i in range(0, len(texts), 64):
-            found += label_texts(known.value, texts.iloc[i : i + 64].tolist())
-        return pd.DataFrame(found, columns=["lang", "score", "spans"])
+            found += [lang for lang, _, _ in label_texts(known.value, texts.slice(i, 64).to_pylist())]
+        return pa.array(found, pa.string())
 
     return run
 
@@ -288,7 +322,7 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = learn(labelled_rows(docs, id_col, text_col, lang_col))
     rows, names = numbered(docs)
     text = F.col(f"c{names.index(text_col)}")
-    return rows.where(labelled_udf(docs.sparkSession, model)(text)["lang"] != UNDETERMINED).toDF(*names)
+    return rows.where(language_udf(docs.sparkSession, model)(text) != UNDETERMINED).toDF(*names)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

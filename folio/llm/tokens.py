@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-WORDS_KEPT = 450_000
+WORDS_KEPT = 300_000
 END_ID = 1
 MARKS = b".,;:!?"
 
@@ -26,9 +26,13 @@ def default_path() -> str:
 
 
 def held(key: tuple, make):
-    """An object kept by this Python process, so that the tasks that it runs share it."""
+    """An object kept by this Python process, so that the tasks that it runs share it.
+
+    Only one is kept: what an operator held goes when the process comes to work for another.
+    """
     store = sys.__dict__.setdefault("_folio_held", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 

@@ -45,6 +45,17 @@ def test_held_out_accuracy_and_mixed_spans(spark, sf_dir):
     assert lang == "de" and 0.4 < score < 0.9 and [s["lang"] for s in spans] == ["en", "de"] and abs(spans[1]["start"] - 305) < 40
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = np.random.default_rng(1)
+    tables = [rng.normal(size=(2, language.BUCKETS)).astype(np.float32) for _ in language.ORDERS]
+    model = language.Model(["a", "b"], tables, np.ones((language.OTHER + 1, 2), bool))
+    texts = ["one two, three four five six seven", "", None, "x" * 9, "eight nine ten " * 20]
+    whole = language.label_texts(model, texts)
+    monkeypatch.setattr(language, "AT_ONCE", 10)
+    assert "".join(p for _, p in language._cut(texts[4])) == texts[4]
+    assert language.label_texts(model, texts) == whole
+
+
 def test_scripts_narrow_the_candidates(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("hello the world and more", "en"), ("привет мир и люди", "ru"), ("γεια σου κοσμε", "el")] * 8)]
     model = language.learn(language.labelled_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
