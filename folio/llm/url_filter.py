@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import pick
+from folio.llm.common import pick, stored
 
 #: Production rules: (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -47,45 +47,63 @@ def _rule_case(rules: list[tuple[str, str]], what: int, starts: str, ends: str)
     return f"case {' '.join(whens)} end" if whens else "cast(null as string)"
 
 
-def _sql(pages: str, rules: list[tuple[str, str]], d: dict[str, str]) -> str:
-    def level(k: int) -> str:
+def _steps(rules: list[tuple[str, str]], d: dict[str, str]) -> dict[str, str]:
+    """The steps by name, in order; each may name those before it, and ``pages``, in braces."""
+
+    def level(k: int) -> dict[str, str]:
         """branches{k}: branches{k-1} with t{k}, the template's segment, after counts by parent and value."""
         above = "".join(f", t{i}" for i in range(1, k))
-        return f"""
-values{k} as (select host{above}, s{k}, sum(n) as n from branches{k - 1} group by host{above}, s{k}),
-parents{k} as (select host{above}, count(*) as many, sum(n) as n from values{k} group by host{above}),
-segments{k} as (select v.*, case when {d["at"]}(s{k}, '#') > 0 or (many >= {MANY_VALUES} and v.n < {RARE}e0 * p.n) then '*' else s{k} end as t{k}
-  from values{k} v join parents{k} p on v.host = p.host{"".join(f" and v.t{i} = p.t{i}" for i in range(1, k))}),
-branches{k} as (select b.*, g.t{k} from branches{k - 1} b join segments{k} g on b.host = g.host and b.s{k} = g.s{k}{"".join(f" and b.t{i} = g.t{i}" for i in range(1, k))}),"""
-
-    return f"""
-with cut as (select page_id, case when {d["at"]}(url, '://') > 0 then substring(url, {d["at"]}(url, '://') + 3) else '' end as tail from {pages}),
-parsed as (select page_id,
-  translate(regexp_extract(tail, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
-  regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) as path from cut),
-judged as (select page_id, host, path,
-  {_rule_case(rules, 1, d["starts"], d["ends"])} as rule,
-  {_rule_case(rules, 0, d["starts"], d["ends"])} as said,
-  regexp_replace(regexp_replace(path, '^/+|/+$', ''{d["every"]}), '[0-9]+', '#'{d["every"]}) as form from parsed),
-branches0 as (select host, form, split_part(form, '/', 1) as s1, split_part(form, '/', 2) as s2,
-    regexp_extract(form, '(?s)^[^/]*/[^/]*/(.*)$', 1) as s3, count(*) as n,
-    sum(case when said is not null then 1 else 0 end) as known, sum(case when said = 'block' then 1 else 0 end) as bad
-  from judged group by host, form),{level(1)}{level(2)}{level(3)}
-hosts as (select host, sum(known) as known, sum(bad) as bad from branches3 group by host),
-firsts as (select host, t1, sum(known) as known, sum(bad) as bad from branches3 group by host, t1),
-merged as (select f.host, f.t1, case when f.known > 0 and
-    abs(f.bad * 1e0 / f.known - h.bad * 1e0 / h.known) <= {Z}e0 * sqrt(h.bad * 1e0 / h.known * (1e0 - h.bad * 1e0 / h.known) / f.known)
-    then '~' else f.t1 end as m1
-  from firsts f join hosts h on f.host = h.host where f.known > 0
-  union all select host, t1, t1 as m1 from firsts where known = 0),
-named as (select b.host, b.form, m.m1, b.t2, b.t3, b.known, b.bad from branches3 b join merged m on b.host = m.host and b.t1 = m.t1),
-templates as (select host, m1, t2, t3, sum(known) as known, sum(bad) as bad from named group by host, m1, t2, t3),
-pure as (select host, m1, t2, t3, (known - bad + {WEIGHT / 2}e0) / (known + {WEIGHT}e0) as purity from templates),
-verdicts as (select n.host, n.form, case when p.purity < {PURE}e0 then 'block' else 'allow' end as verdict
-  from named n join pure p on n.host = p.host and n.m1 = p.m1 and n.t2 = p.t2 and n.t3 = p.t3)
-select page_id, host, path, rule, said as verdict from judged where said is not null
-union all
-select j.page_id, j.host, j.path, j.rule, v.verdict from judged j join verdicts v on j.host = v.host and j.form = v.form where j.said is null"""
+        on = lambda a, b: f"{a}.host = {b}.host" + "".join(f" and {a}.t{i} = {b}.t{i}" for i in range(1, k))
+        return {
+            f"values{k}": f"select host{above}, s{k}, sum(n) as n from {{branches{k - 1}}} group by host{above}, s{k}",
+            f"parents{k}": f"select host{above}, count(*) as many, sum(n) as n from {{values{k}}} group by host{above}",
+            f"segments{k}": f"""
+select v.*, case when {d["at"]}(s{k}, '#') > 0 or (many >= {MANY_VALUES} and v.n < {RARE}e0 * p.n) then '*' else s{k} end as t{k}
+from {{values{k}}} v join {{parents{k}}} p on {on("v", "p")}""",
+            f"branches{k}": f"select b.*, g.t{k} from {{branches{k - 1}}} b join {{segments{k}}} g on {on('b', 'g')} and b.s{k} = g.s{k}",
+        }
+
+    case = lambda what: _rule_case(rules, what, d["starts"], d["ends"])
+    return {
+        "judged": f"""
+select page_id, host, path, {case(1)} as rule, {case(0)} as said,
+  regexp_replace(regexp_replace(path, '^/+|/+$', ''{d["every"]}), '[0-9]+', '#'{d["every"]}) as form
+from (select page_id, translate(regexp_extract(tail, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, case when {d["at"]}(url, '://') > 0 then substring(url, {d["at"]}(url, '://') + 3) else '' end as tail from {{pages}}) c) p""",
+        "branches0": """
+select host, form, split_part(form, '/', 1) as s1, split_part(form, '/', 2) as s2, regexp_extract(form, '(?s)^[^/]*/[^/]*/(.*)$', 1) as s3,
+  count(*) as n, sum(case when said is not null then 1 else 0 end) as known, sum(case when said = 'block' then 1 else 0 end) as bad
+from {judged} group by host, form""",
+        **level(1),
+        **level(2),
+        **level(3),
+        "hosts": "select host, sum(known) as known, sum(bad) as bad from {branches3} group by host",
+        "firsts": "select host, t1, sum(known) as known, sum(bad) as bad from {branches3} group by host, t1",
+        "merged": f"""
+select f.host, f.t1, case when abs(f.bad * 1e0 / f.known - h.bad * 1e0 / h.known) <= {Z}e0 * sqrt(h.bad * 1e0 / h.known * (1e0 - h.bad * 1e0 / h.known) / f.known) then '~' else f.t1 end as m1
+from {{firsts}} f join {{hosts}} h on f.host = h.host where f.known > 0
+union all select host, t1, t1 as m1 from {{firsts}} where known = 0""",
+        "named": "select b.host, b.form, m.m1, b.t2, b.t3, b.known, b.bad from {branches3} b join {merged} m on b.host = m.host and b.t1 = m.t1",
+        "pure": f"select host, m1, t2, t3, (sum(known) - sum(bad) + {WEIGHT / 2}e0) / (sum(known) + {WEIGHT}e0) as purity from {{named}} group by host, m1, t2, t3",
+        "verdicts": f"""
+select n.host, n.form, case when p.purity < {PURE}e0 then 'block' else 'allow' end as verdict
+from {{named}} n join {{pure}} p on n.host = p.host and n.m1 = p.m1 and n.t2 = p.t2 and n.t3 = p.t3""",
+        "result": """
+select page_id, host, path, rule, said as verdict from {judged} where said is not null
+union all select j.page_id, j.host, j.path, j.rule, v.verdict from {judged} j join {verdicts} v on j.host = v.host and j.form = v.form where j.said is null""",
+    }
+
+
+#: Steps that later ones name more than once. They are written, so that no plan grows with the tree's depth.
+WRITTEN = {"branches0", "branches1", "branches2", "branches3", "named", "verdicts"}
+
+
+def _sql(rules: list[tuple[str, str]], d: dict[str, str]) -> str:
+    """All steps as one text."""
+    steps = _steps(rules, d)
+    names = {n: n for n in [*steps, "pages"]}
+    first = [f"{n} as ({text.format(**names)})" for n, text in steps.items() if n != "result"]
+    return f"with {', '.join(first)} {steps['result'].format(**names)}"
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -94,8 +112,13 @@ def judge(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str
     A null url, or one without ``://``, has empty host and path, and the verdict of that template.
     Repeated ids and rows keep a row each; other columns are not read. An empty table gives no rows.
     """
-    rows = pick(df, page_id=id_col, url=url_col)
-    return df.sparkSession.sql(_sql("{pages}", RULES if rules is None else rules, SPARK), pages=rows)
+    frames = {"pages": pick(df, page_id=id_col, url=url_col)}
+    for name, text in _steps(RULES if rules is None else rules, SPARK).items():
+        used = {n: f for n, f in frames.items() if f"{{{n}}}" in text}
+        frames[name] = df.sparkSession.sql(text, **used)
+        if name in WRITTEN:
+            frames[name] = stored(frames[name], name)
+    return frames["result"]
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +126,4 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_url_filter": op5_url_filter}
-ORACLES = {"op5_url_filter": _sql("pages", RULES, DUCKDB)}
+ORACLES = {"op5_url_filter": _sql(RULES, DUCKDB)}
