@@ -46,6 +46,37 @@ def _bits(top: np.ndarray) -> np.ndarray:
     return np.searchsorted(1 << np.arange(33, dtype=np.uint64), top.astype(np.uint64), "right").astype(np.uint8)
 
 
+def _spread(width: int) -> Iterator[tuple[int, int, int, int]]:
+    """Eight numbers take ``width`` bytes: for each number its place, first byte, shift there, and bytes that it touches."""
+    for k in range(8 if width else 0):
+        first, shift = divmod(k * width, 8)
+        yield k, first, shift, -(-(shift + width) // 8)
+
+
+def _pack(rows: np.ndarray, width: int) -> np.ndarray:
+    """Blocks of numbers to blocks of bytes, lowest bits first."""
+    eights = rows.reshape(len(rows), BLOCK // 8, 8)
+    kind = np.uint32 if width <= 24 else np.uint64
+    out = np.zeros((len(rows), BLOCK // 8, width), np.uint8)
+    for k, first, shift, touched in _spread(width):
+        moved = eights[:, :, k].astype(kind) << kind(shift)
+        for j in range(touched):
+            out[:, :, first + j] |= (moved >> kind(8 * j)).astype(np.uint8)
+    return out.reshape(len(rows), -1)
+
+
+def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    eights = packed.reshape(len(packed), BLOCK // 8, width)
+    kind = np.uint32 if width <= 24 else np.uint64
+    out = np.zeros((len(packed), BLOCK // 8, 8), "<u4")
+    for k, first, shift, touched in _spread(width):
+        found = eights[:, :, first].astype(kind)
+        for j in range(1, touched):
+            found |= eights[:, :, first + j].astype(kind) << kind(8 * j)
+        out[:, :, k] = (found >> kind(shift)) & kind((1 << width) - 1)
+    return out.reshape(len(packed), BLOCK)
+
+
 def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -60,12 +91,10 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     values = rows[odd].astype("<u4")
     rows[odd] = 0
     starts, body, size = np.zeros(blocks, "<u4"), [], 0
-    item = rows.dtype.itemsize
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         starts[own] = size + np.arange(len(own)) * (BLOCK // 8 * int(w))
-        bits = np.unpackbits(rows[own].view(np.uint8).reshape(len(own), BLOCK, item), axis=2, bitorder="little")[:, :, :w]
-        body.append(np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little").tobytes())
+        body.append(_pack(rows[own], int(w)).tobytes())
         size += len(body[-1])
     first = np.searchsorted(block_of, np.arange(blocks)).astype("<u4")
     return b"".join(
@@ -107,12 +136,7 @@ class Segment:
 
     def _unpacked(self, own: np.ndarray, w: int) -> np.ndarray:
         each = BLOCK // 8 * w
-        packed = self.body[int(self.starts[own[0]]) :][: each * len(own)].reshape(len(own), each)
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-        room = 16 if w <= 16 else 32
-        full = np.zeros((len(own), BLOCK, room), np.uint8)
-        full[:, :, :w] = bits
-        return np.packbits(full, axis=2, bitorder="little").reshape(len(own), -1).view(f"<u{room // 8}").astype("<u4")
+        return _unpack(self.body[int(self.starts[own[0]]) :][: each * len(own)].reshape(len(own), each), w)
 
     def block(self, i: int) -> np.ndarray:
         """The ids of one block, from its own bytes."""
