@@ -145,10 +145,12 @@ class PieceCoder:
     def agendas(self, units: list[str]) -> list[list[int]]:
         """The ids of units: short ones of known characters in tables, the others one by one."""
         given = [u.replace(" ", MARK) for u in units]
-        short = sorted((len(u), k) for k, u in enumerate(given) if len(u) <= TABLE_WIDTH and self.known.issuperset(u))
+        order = np.argsort(np.fromiter(map(len, given), np.int64, len(given)), kind="stable").tolist()
+        known = self.known.issuperset
+        short = [k for k in order if len(given[k]) <= TABLE_WIDTH and known(given[k])]
         out: list = [None] * len(units)
         for i in range(0, len(short), TABLE_ROWS):
-            part = [k for _, k in short[i : i + TABLE_ROWS]]
+            part = short[i : i + TABLE_ROWS]
             for k, ids in zip(part, self._agenda_table([given[k] for k in part])):
                 out[k] = ids
         return [self.agenda(u) if ids is None else ids for u, ids in zip(units, out)]
