@@ -173,6 +173,16 @@ C.add(
     "cache_keys",
     f"""
 select doc_id, substring($sha(n$bits), 1, 16) as line_key, substring($sha('batch|' || n || '|User,Assistant'$bits), 1, 16) as batch_key, substring($sha('pov|' || substring(n, 1, 500)$bits), 1, 16) as pov_key
+from (select doc_id, trim(regexp_replace(text, '{SPACE}', ' '$g)) as n from {{documents}}) t""",
+    doc="Its pov_key is of the first 500 characters; ``cache_keys_whole`` has the reference's sample of words.",
+)
+#: Words that the key of a point of view is made of.
+POV_WORDS = 2000
+C.add(
+    "cache_keys_whole",
+    f"""
+select doc_id, substring($sha(n$bits), 1, 16) as line_key, substring($sha('batch|' || n || '|User,Assistant'$bits), 1, 16) as batch_key,
+  substring($sha('pov|' || $join($slice($split(n, ' '), 1, {POV_WORDS}), ' ')$bits), 1, 16) as pov_key
 from (select doc_id, trim(regexp_replace(text, '{SPACE}', ' '$g)) as n from {{documents}}) t""",
 )
 view(

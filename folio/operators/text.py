@@ -179,8 +179,22 @@ C.add(
     f"""
 select doc_id, substring(trim(regexp_replace(translate(text, '“”„「」『』　', repeat('"', 7) || ' '), '{SPACE}', ' '$g)), 1, 5000) as text,
   translate(substring(text, 1, 200), '“”‘’', '""' || chr(39) || chr(39)) as quoted from {{documents}}""",
-    doc="Marks of other scripts to plain ones, white space to single spaces, at most 5000 characters (an option of the operator).",
+    doc="A short form: at most 5000 characters, quotation marks of the first 200. ``text_normalize_whole`` keeps the whole text.",
 )
+C.add(
+    "text_normalize_whole",
+    f"""
+select doc_id, trim(regexp_replace(translate(text, '“”„「」『』　', repeat('"', 7) || ' '), '{SPACE}', ' '$g)) as text,
+  translate(text, '“”‘’', '""' || chr(39) || chr(39)) as quoted from {{documents}}""",
+    doc="Marks of other scripts to plain ones, white space to single spaces, over the whole text.",
+)
+
+
+def normalized(documents: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``text_normalize_whole`` over these documents; texts are cut only if ``max_length`` is given."""
+    found = C["text_normalize_whole"].on(documents=documents)
+    return found if max_length is None else found.withColumn("text", F.substring("text", 1, max_length))
+
 
 FIRST = "i|my|me|myself|we|us|our|ourselves"
 THIRD = "he|she|they|him|her|them|his|hers|their"
