@@ -1,18 +1,22 @@
 """URL filters: rules first, then a tree of path templates for each host, in SQL only.
 
-Paths are cut into segments and runs of digits in them become ``#``. Down the tree of a host, a
-segment that has ``#``, or is one of many values and rare among them, becomes the wildcard ``*``. The
-first branches of a host whose labelled pages are bad no more and no less often than the host's are
-merged (a test of proportions). What is left is a template; its purity is the share of good pages
-among its labelled ones, smoothed by WEIGHT more pages that are good by half, and templates with a
-purity under PURE are rejected; without labelled pages none is. Labelled pages are those that rules
-decide.
-
-Statistics are made on distinct (host, path with ``#``), counted before they shuffle.
+Paths are cut into segments and runs of digits in them become ``#``. Down the tree of a host, to the
+last segment, one that has ``#``, or is one of many values and rare among them, becomes the wildcard
+``*``. Then, at every level from the top, siblings whose labelled pages are bad no more and no less
+often are merged: in the order of their shares, one joins the group before it unless a test of
+proportions tells them apart. What is left is a template; its purity is the share of good pages among
+its labelled ones, smoothed by WEIGHT more pages that are good by half, and templates with a purity
+under PURE are rejected; without labelled pages none is. Labelled pages are those that rules decide.
+
+Statistics are made on distinct (host, path with ``#``), counted before they shuffle. Each level is
+written. Below a parent of under MANY_VALUES paths no value can be rare, and below one without labels or
+of one template nothing can merge: such branches end at once, so that long lone paths take no levels.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.common import pick, stored
@@ -48,7 +52,11 @@ def _rule_case(rules: list[tuple[str, str]], what: int, starts: str, ends: str)
 
 
 def _steps(rules: list[tuple[str, str]], d: dict[str, str]) -> dict[str, str]:
-    """The steps by name, in order; each may name those before it, and ``pages``, in braces."""
+    """The steps by name, in order; each may name those before it, and ``pages``, in braces.
+
+    As one text for the SQL check, with three levels, which is all that its pages have; ``judge`` takes
+    its first and last steps from here and goes down all levels in between.
+    """
 
     def level(k: int) -> dict[str, str]:
         """branches{k}: branches{k-1} with t{k}, the template's segment, after counts by parent and value."""
@@ -94,10 +102,6 @@ union all select j.page_id, j.host, j.path, j.rule, v.verdict from {judged} j jo
     }
 
 
-#: Steps that later ones name more than once. They are written, so that no plan grows with the tree's depth.
-WRITTEN = {"branches0", "branches1", "branches2", "branches3", "named", "verdicts"}
-
-
 def _sql(rules: list[tuple[str, str]], d: dict[str, str]) -> str:
     """All steps as one text."""
     steps = _steps(rules, d)
@@ -106,19 +110,67 @@ def _sql(rules: list[tuple[str, str]], d: dict[str, str]) -> str:
     return f"with {', '.join(first)} {steps['result'].format(**names)}"
 
 
+_SEGMENT = "split_part(rest, '/', 1)"
+_REST = "case when instr(rest, '/') > 0 then substring(rest, instr(rest, '/') + 1) end"
+
+#: One level: the next segment of ``rest`` goes to ``above``, as it is or as the wildcard.
+GENERALISED = f"""
+with v as (select host, above, {_SEGMENT} as s, sum(n) as n, count(*) as forms from {{live}} group by host, above, s),
+p as (select host, above, count(*) as many, sum(n) as n, sum(forms) as forms from v group by host, above),
+g as (select v.host, v.above, s, forms_in < {MANY_VALUES} as few, case when instr(s, '#') > 0 or (many >= {MANY_VALUES} and v.n < {RARE}e0 * total) then '*' else s end as t
+  from v join (select host, above, many, n as total, forms as forms_in from p) p on v.host = p.host and v.above = p.above)
+select b.host, form, concat(b.above, '/', case when few then array_join(transform(split(rest, '/'), x -> case when instr(x, '#') > 0 then '*' else x end), '/') else t end) as above,
+  case when not few then {_REST} end as rest, n, known, bad
+from {{live}} b join g on b.host = g.host and b.above = g.above and split_part(b.rest, '/', 1) = g.s"""
+
+_share = "(a.bad + k.bad) * 1e0 / (a.known + k.known)"
+_alike = f"""a.known > 0 and abs(a.bad * 1e0 / greatest(a.known, 1) - k.bad * 1e0 / k.known)
+  <= {Z}e0 * sqrt({_share} * (1e0 - {_share}) * (1e0 / greatest(a.known, 1) + 1e0 / k.known))"""
+#: One level: labelled siblings that are alike get one name, ``#`` and a number, which no template has.
+MERGED = f"""
+with v as (select host, above, {_SEGMENT} as s, sum(known) as known, sum(bad) as bad, count(*) as leaves from {{live}} group by host, above, s),
+p as (select host, above, sum(known) = 0 or sum(leaves) = 1 as alone,
+    array_sort(collect_list(case when known > 0 then struct(bad * 1e0 / known as share, -known as size, s, known, bad) end)) as kids from v group by host, above),
+f as (select host, above, alone, aggregate(kids, named_struct('no', 0, 'known', 0L, 'bad', 0L, 'names', cast(map() as map<string, int>)),
+    (a, k) -> case when {_alike} then named_struct('no', a.no, 'known', a.known + k.known, 'bad', a.bad + k.bad, 'names', map_concat(a.names, map(k.s, a.no)))
+      else named_struct('no', a.no + 1, 'known', k.known, 'bad', k.bad, 'names', map_concat(a.names, map(k.s, a.no + 1))) end).names as names from p)
+select b.host, template, concat(b.above, '/', case when alone then rest else coalesce(concat('#', names[{_SEGMENT}]), {_SEGMENT}) end) as above,
+  case when not alone then {_REST} end as rest, known, bad
+from {{live}} b join f on b.host = f.host and b.above = f.above"""
+
+VERDICTS = f"""
+with p as (select host, node, (sum(known) - sum(bad) + {WEIGHT / 2}e0) / (sum(known) + {WEIGHT}e0) as purity from {{leaves}} group by host, node)
+select f.host, f.form, case when purity < {PURE}e0 then 'block' else 'allow' end as verdict
+from {{forms}} f join {{leaves}} n on f.host = n.host and f.template = n.template join p on n.host = p.host and n.node = p.node"""
+
+
 def judge(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``df``: page_id, host, path, rule, verdict.
 
     A null url, or one without ``://``, has empty host and path, and the verdict of that template.
     Repeated ids and rows keep a row each; other columns are not read. An empty table gives no rows.
     """
-    frames = {"pages": pick(df, page_id=id_col, url=url_col)}
-    for name, text in _steps(RULES if rules is None else rules, SPARK).items():
-        used = {n: f for n, f in frames.items() if f"{{{n}}}" in text}
-        frames[name] = df.sparkSession.sql(text, **used)
-        if name in WRITTEN:
-            frames[name] = stored(frames[name], name)
-    return frames["result"]
+    steps = _steps(RULES if rules is None else rules, SPARK)
+    spark = df.sparkSession
+    judged = spark.sql(steps["judged"], pages=pick(df, page_id=id_col, url=url_col))
+    counted = "select host, form, '' as above, form as rest, count(*) as n, sum(case when said is not null then 1 else 0 end) as known, sum(case when said = 'block' then 1 else 0 end) as bad from {judged} group by host, form"
+    forms = _descend(stored(spark.sql(counted, judged=judged), "forms"), GENERALISED, "template")
+    forms = stored(forms.select("host", "form", "template", "known", "bad"), "templates")
+    leaves = "select host, template, '' as above, substring(template, 2) as rest, sum(known) as known, sum(bad) as bad from {forms} group by host, template"
+    leaves = _descend(stored(spark.sql(leaves, forms=forms), "leaves"), MERGED, "node")
+    verdicts = stored(spark.sql(VERDICTS, forms=forms, leaves=stored(leaves, "nodes")), "verdicts")
+    return spark.sql(steps["result"], judged=judged, verdicts=verdicts)
+
+
+def _descend(rows: DataFrame, level: str, name: str) -> DataFrame:
+    """``rows`` (host, above, rest, ...) after ``level`` for each segment until none has a rest; ``above`` becomes ``name``."""
+    done = []
+    while True:
+        rows = stored(rows.sparkSession.sql(level, live=rows), name)
+        done.append(rows.where("rest IS NULL"))
+        rows = rows.where("rest IS NOT NULL")
+        if rows.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done).drop("rest").withColumnRenamed("above", name)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

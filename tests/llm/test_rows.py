@@ -161,3 +161,25 @@ def test_templates_are_rejected_by_labelled_purity(spark):
 
 def test_urls_against_sql(spark, sf_dir, same):
     same(url_filter.op5_url_filter(spark, sf_dir), url_filter.ORACLES["op5_url_filter"])
+
+
+def _verdicts(spark, bad, good, asked):
+    """Verdicts of the asked urls, where those of ``bad`` and ``good`` are labelled by a rule each."""
+    rules = [("block", u.partition("://")[2]) for u in bad] + [("allow", u.partition("://")[2]) for u in good]
+    df = spark.createDataFrame(list(enumerate([*bad, *good, *asked])), "page_id long, url string")
+    return [r["verdict"] for r in url_filter.judge(df, rules).orderBy("page_id").collect()][len(rules) :]
+
+
+def test_templates_reach_the_last_segment(spark):
+    bad, good = ([f"https://h.org/a/b/{x}/{i}/" for i in range(10, 20)] for x in ("ads", "news"))
+    assert _verdicts(spark, bad, good, ["https://h.org/a/b/ads/7", "https://h.org/a/b/news/7", "https://h.org/a/c/ads/7"]) == ["block", "allow", "allow"]
+    names = ["".join(x) for x in itertools.product("pqrstuvw", "abcdefgh")]
+    pages = [f"https://h.org/x/y/{w}/{x}/" for w, x in zip(names, ["ads", "view"] * 32)]
+    assert _verdicts(spark, pages[:20:2], pages[1:20:2], pages[20:]) == ["block", "allow"] * 22
+
+
+def test_like_siblings_merge_below_the_first_level(spark):
+    bad = [f"https://h.org/s/{w}/{i}/" for w in ("ads", "promo") for i in (11, 12)]
+    good = [f"https://h.org/s/{w}/{i}/" for w in ("news", "blog") for i in range(10, 20)]
+    got = _verdicts(spark, bad, good, ["https://h.org/s/ads/7", "https://h.org/s/promo/7", "https://h.org/s/news/7", "https://h.org/s/other/7"])
+    assert got == ["block", "block", "allow", "allow"]
