@@ -8,7 +8,9 @@ canonical form by the same function.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,17 +92,85 @@ KNOWN = {
     "notice:MIT": "Released under the MIT License.",
 }
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+_BSD_DENIAL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+KNOWN |= {
+    "BSD-2-Clause": f"BSD 2-Clause License\n\n{_BSD}{_BSD_DENIAL}",
+    "BSD-3-Clause": f"BSD 3-Clause License\n\n{_BSD}{_BSD_NAMES}{_BSD_DENIAL}",
+}
+
+#: Other first lines of the same texts.
+TITLES = {"MIT": ["The MIT License", "The MIT License (MIT)"], "ISC": ["The ISC License"], "0BSD": ["BSD Zero Clause License"]}
+#: Whole texts that lie in files beside this module, and the names they go by.
+FILES = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "BSD": "BSD-3-Clause-UC",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
+    "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def all_known() -> list[tuple[str, str]]:
+    """(licence, text) of all known texts: with and without their titles, with and without what follows their terms."""
+    texts = KNOWN | {name: (Path(__file__).parent / "licence_texts" / f"{file}.txt").read_text() for file, name in FILES.items()}
+    found = []
+    for name, text in texts.items():
+        title, _, body = text.strip("\n").partition("\n\n")
+        forms = [text, *[f"{t}\n\n{body}" for t in TITLES.get(name, [])], *[body] * bool(body)]
+        found += [(name, f) for f in forms] + [(name, f.partition(_END)[0] + _END) for f in forms if _END in f]
+    return found
+
+
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 #: Marks outside ASCII that count as punctuation.
 _MARKS = "«»–—―‘’‚“”„•…"
-_COPYRIGHT = ("copyright ", "copyright©", "(c) ", "©", "all rights reserved", "portions copyright ")
+_YEAR = r"[<\[{]?(?:[0-9]{4}\b|year\b|yyyy\b)"
+#: A line that names a copyright by a mark, a year or a holder, a name that has capitals and small letters. Lines of
+#: the body that begin with the word, as the wrapping has it, are none.
+_COPYRIGHT = re.compile(
+    rf"""(?:portions\s+)?(?:©|\(c\)[\s,]*{_YEAR}|copyright[\s:]*(?:©|\(c\)|{_YEAR}
+    |(?:by\s+)?(?-i:(?!(?:Act|Notices?|Holders?|Owners?|Laws?|License|Licence|Statements?|Interests?|And|Or|In)\b)[A-Z][\w.&'-]*[a-z]))
+    |all\s+rights\s+reserved[\s.!]*$)""",
+    re.IGNORECASE | re.VERBOSE,
+)
 
 
 def canonical(text: str | None) -> str:
     """The canonical form; a null text, one of punctuation and one of copyright lines have the empty one."""
-    text = (text or "").lower()
+    plain = text or ""
+    text = plain.lower()
     if "copyright" in text or "(c)" in text or "©" in text or "all rights reserved" in text:
-        text = "\n".join(x for x in text.split("\n") if not x.strip(" \t\r*#/;-").startswith(_COPYRIGHT))
+        text = "\n".join(x for x in plain.split("\n") if not _COPYRIGHT.match(x.strip(" \t\r*#/;-"))).lower()
     if not text.isascii():
         for mark in _MARKS:
             text = text.replace(mark, " ")
@@ -123,7 +193,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """licence, text of the texts that come with this module, or of those given."""
-    return spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "licence string, text string")
+    return spark.createDataFrame(all_known() if texts is None else list(texts.items()), "licence string, text string")
 
 
 def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,21 @@ def test_whole_texts_match_known_licences(spark, cases):
     assert all(r["canonical_sha256"] == hashlib.sha256(b"").hexdigest() for r in found if r["doc_id"] in (2, 3))
 
 
+def test_standard_licence_files_match_however_they_are_wrapped(spark):
+    isc = licences.KNOWN["ISC"].replace("that the above copyright", "that the above\ncopyright").replace("ISC License", "ISC License\n\nCopyright (c) 2020, A. Person")
+    mit = licences.KNOWN["MIT"].removeprefix("MIT License\n\n").replace("OR\nCOPYRIGHT", "OR COPYRIGHT").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    texts = {"ISC": isc, "MIT": "Copyright The Example Authors\n\n" + mit}
+    texts |= {n: (licences.Path(licences.__file__).parent / "licence_texts" / f"{f}.txt").read_text() for f, n in licences.FILES.items()}
+    texts |= {f"{n} ": textwrap.fill(licences.KNOWN[n], 60) for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    rows = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(rows, licences.known_licences(spark)).collect()}
+    assert got == dict(enumerate(n.strip() for n in texts))
+    kept = "copyright notice and this notice", "(c) You must retain", "Copyright holders may", "COPYRIGHT OWNER OR CONTRIBUTORS"
+    assert [licences.canonical(x) != "" for x in kept] == [True] * 4
+    gone = "Copyright 2020 X", "# (C) 1999 Y", "Portions Copyright (c) Z", "Copyright <year> <owner>", "Copyright The Go Authors", "All rights reserved."
+    assert [licences.canonical(x) for x in gone] == [""] * 6
+
+
 def test_shards(spark):
     rows = sharding.sharded(spark.range(20_000).selectExpr("id * 3 as doc_id", "repeat('é', cast(id % 5 as int)) as text")).collect()
     sizes = Counter(r["shard"] for r in rows)
