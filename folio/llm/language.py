@@ -27,8 +27,8 @@ from folio.llm.tokens import held
 
 #: Labelled texts of a language that are drawn on average (by a hash of their id) to learn from.
 SAMPLE = 2000
-#: Languages learned: those with the most labelled texts.
-MOST_LANGUAGES = 64
+#: Languages whose counts a task holds at once; those of more are handed on in parts.
+HELD_LANGUAGES = 64
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 SWITCH = 12.0
@@ -120,6 +120,11 @@ def words(texts: list[str]) -> Words:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of labelled texts: (lang, counts of every n-gram of every order, words by script) of the part."""
+
+    def handed(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, row in totals.items():
+            yield pa.record_batch([pa.array([name]), pa.array([zlib.compress(row.astype("<i8").tobytes(), 1)])], ["lang", "counts"])
+
     totals: dict[str, np.ndarray] = {}
     for b in slices(batches):
         langs = b["lang"].to_pylist()
@@ -131,8 +136,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = [np.bincount(g[own[gw]], minlength=BUCKETS) for g, gw in zip(w.grams, w.gram_word)]
             row = np.concatenate([*row, np.bincount(w.script[own], minlength=OTHER + 1)]).astype(np.int64)
             totals[name] = totals.get(name, 0) + row
-    for name, row in totals.items():
-        yield pa.record_batch([pa.array([name]), pa.array([zlib.compress(row.astype("<i8").tobytes(), 1)])], ["lang", "counts"])
+            if len(totals) >= HELD_LANGUAGES:
+                yield from handed(totals)
+                totals = {}
+    yield from handed(totals)
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,25 +169,31 @@ class Model:
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang): on average ``sample`` texts of each language, drawn by a hash of their id.
 
-    The n-gram tables have a fixed size; those of a part add up on the executors, a language a task.
+    Every language that a row has is learned. The n-gram tables have a fixed size for each; those of a part add up on
+    the executors, a language a task.
     """
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], [], np.zeros((OTHER + 1, 0), bool))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = labelled.where(F.col("lang").isin(langs)).where(draw < share[F.col("lang")]).select("text", "lang")
+    drawn = labelled.where(draw < share[F.col("lang")]).select("text", "lang")
     rows = drawn.mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary").collect()
-    tables = {r["lang"]: np.frombuffer(zlib.decompress(r["counts"]), "<i8") for r in rows}
-    empty = np.zeros(BUCKETS * len(ORDERS) + OTHER + 1, np.int64)
-    counts = np.stack([tables.get(x, empty) for x in langs], axis=1)
-    weights = []
-    for k in range(len(ORDERS)):
-        own = counts[k * BUCKETS : (k + 1) * BUCKETS] + SMOOTH
-        logs = np.log(own / own.sum(axis=0))
-        weights.append(np.ascontiguousarray((logs - logs.mean(axis=1, keepdims=True)).T, np.float32))
-    scripts = counts[len(ORDERS) * BUCKETS :]
+    tables = {r["lang"]: r["counts"] for r in rows}
+    empty = zlib.compress(np.zeros(BUCKETS * len(ORDERS) + OTHER + 1, "<i8").tobytes(), 1)
+    size, own = len(ORDERS) * BUCKETS, [tables.get(x, empty) for x in langs]  # compressed: one at a time is opened
+
+    def logs(packed: bytes) -> np.ndarray:
+        counts = np.frombuffer(zlib.decompress(packed), "<i8")[:size].reshape(len(ORDERS), BUCKETS) + SMOOTH
+        return np.log(counts / counts.sum(axis=1, keepdims=True))
+
+    mean = sum(map(logs, own)) / len(langs)
+    weights = [np.empty((len(langs), BUCKETS), np.float32) for _ in ORDERS]
+    for i, packed in enumerate(own):
+        for table, row in zip(weights, logs(packed) - mean):
+            table[i] = row
+    scripts = np.stack([np.frombuffer(zlib.decompress(x), "<i8")[size:] for x in own], axis=1)
     allowed = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
     return Model(langs, weights, allowed | ~allowed.any(axis=1, keepdims=True))
 
@@ -221,14 +234,14 @@ def labels(scores: np.ndarray, switch: float) -> np.ndarray:
 AT_ONCE = 1 << 18
 
 
-def _cut(text: str) -> Iterator[tuple[int, str]]:
-    """(place, part) of a text, in parts of at most AT_ONCE characters that end between words where they can."""
-    at = 0
-    while len(text) - at > AT_ONCE:
-        end = at + AT_ONCE
+def _cut(text: str, most: int | None = None) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text, in parts of at most AT_ONCE (or ``most``) characters that end between words where they can."""
+    most, at = most or AT_ONCE, 0
+    while len(text) - at > most:
+        end = at + most
         while end > at and text[end - 1].isalpha():
             end -= 1
-        end = end if end > at else at + AT_ONCE
+        end = end if end > at else at + most
         yield at, text[at:end]
         at = end
     yield at, text[at:]
@@ -236,12 +249,13 @@ def _cut(text: str) -> Iterator[tuple[int, str]]:
 
 def _scored(model: Model, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each text's words: scores, letters and places, found for some texts at a time."""
-    parts = [(k, at, part) for k, t in enumerate(texts) for at, part in _cut(t)]
+    most = max(1, AT_ONCE * 64 // max(64, len(model.languages)))  # scores are words by languages
+    parts = [(k, at, part) for k, t in enumerate(texts) for at, part in _cut(t, most)]
     found: list[list] = [[] for _ in texts]
     i = 0
     while i < len(parts):
         j, size = i, 0
-        while j < len(parts) and (j == i or size + len(parts[j][2]) <= AT_ONCE):
+        while j < len(parts) and (j == i or size + len(parts[j][2]) <= most):
             size += len(parts[j][2])
             j += 1
         w = words([p for _, _, p in parts[i:j]])

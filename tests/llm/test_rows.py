@@ -199,3 +199,12 @@ def test_like_siblings_merge_below_the_first_level(spark):
     good = [f"https://h.org/s/{w}/{i}/" for w in ("news", "blog") for i in range(10, 20)]
     got = _verdicts(spark, bad, good, ["https://h.org/s/ads/7", "https://h.org/s/promo/7", "https://h.org/s/news/7", "https://h.org/s/other/7"])
     assert got == ["block", "block", "allow", "allow"]
+
+
+def test_rare_languages_beyond_the_64_most_frequent_are_learned(spark):
+    rng = np.random.default_rng(3)
+    own = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)) for _ in range(70)]
+    rows = [(1000 * k + i, t, f"l{k:02}") for k, t in enumerate(own) for i in range(12 if k < 66 else 8)]
+    model = language.learn(language.labelled_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    assert [x for x, _, _ in language.label_texts(model, own)] == model.languages
