@@ -331,12 +331,27 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc_id long, lang string, score double, spans {SPANS}")
 
 
+def lettered(texts: pa.Array) -> pa.Array:
+    """Does a text have a letter? Decided by itself, whatever was learned."""
+    found = []
+    for i in range(0, len(texts), 64):
+        for t in texts.slice(i, 64).to_pylist():
+            points = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            found.append(bool((classes()[points] > 0).any()))
+    return pa.array(found, pa.bool_())
+
+
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that are ``und``, all columns as they were."""
+    """``docs`` without the rows whose text has no letter, all columns as they were.
+
+    With a model these are the rows that are ``und``; where nothing was learned, every text is, and only
+    its letters count.
+    """
     model = learn(labelled_rows(docs, id_col, text_col, lang_col))
     rows, names = numbered(docs)
     text = F.col(f"c{names.index(text_col)}")
-    return rows.where(language_udf(docs.sparkSession, model)(text) != UNDETERMINED).toDF(*names)
+    stays = language_udf(docs.sparkSession, model)(text) != UNDETERMINED if model.languages else F.arrow_udf(lettered, "boolean")(text)
+    return rows.where(stays).toDF(*names)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

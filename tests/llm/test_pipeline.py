@@ -47,3 +47,10 @@ def test_query_gives_the_rows_of_its_sql(name, spark, sf_dir, same):
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert simhash.QUERIES
+
+
+def test_documents_stay_where_no_language_is_known(spark, sf_dir):
+    rows = [(2, "plain text", None, "s", 10), (3, "другой", None, "s", 6), (4, "12 34", None, "s", 5), (5, None, None, "s", 0)]
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    kept = corpus_pipeline.identified(spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
