@@ -31,3 +31,10 @@ def test_keys_of_texts_with_one_opening_differ(spark, tmp_path):
     got = {r["doc_id"]: r["pov_key"] for r in catalogue.queries()["cache_keys_whole"](spark, folder).collect()}
     assert got == {i: hashlib.sha256(("pov|" + " ".join(t.split()[:2000])).encode()).hexdigest()[:16] for i, t in texts.items()}
     assert got[1] == got[3] != got[2]
+
+
+def test_all_turns_count_for_completion(spark, tmp_path):
+    rows = [(c, t) for c in (7, 8, 14) for t in range(4) if (c, t) != (14, 2)]
+    folder = written(spark, tmp_path, "conversations", rows, "conv_id long, turn long")
+    got = {r["conv_id"]: (r["seen"], r["expected"], r["complete"], r["progress"]) for r in catalogue.queries()["job_completion_whole"](spark, folder).collect()}
+    assert got == {7: (4, 4, True, 100.0), 8: (4, 4, True, 100.0), 14: (3, 4, False, 75.0)}
