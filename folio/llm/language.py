@@ -1,12 +1,13 @@
 """Language ID: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
-A word is a run of letters. Its scripts leave as candidates the languages that the labelled texts
-showed in those scripts. A word's score for a language is the sum of the logarithms of its letter
+A word is a run of letters, with the marks that follow them. Its scripts leave as candidates the
+languages that the labelled texts showed in those scripts. A word's score for a language is the sum of the logarithms of its letter
 n-grams' shares there. The best sequence of labels under a penalty for each switch gives spans; a
 text's language is the one with the most letters.
 
-A text's constant labelling is the best one if no stretch of words gains more than the penalty by any
-other language. That is tested on whole arrays; only texts that fail it go through Viterbi word by word.
+A text's constant labelling is the best one if no stretch of words gains more than the penalty even if
+each of its words had the best of the other languages, as any stretch in other languages costs one
+switch at least. That is tested on whole arrays; texts that fail it go through Viterbi word by word.
 """
 
 from __future__ import annotations
@@ -52,25 +53,44 @@ SCRIPTS = {
     "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
 OTHER = len(SCRIPTS) + 1
+MARK = 128
 
 
 def _classes() -> np.ndarray:
-    """By code point: 0 no part of a word, else its script; marks count as letters."""
-    found = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        if unicodedata.category(chr(i))[0] in "LM":
-            found[i] = OTHER
+    """By code point: 0 no part of a word, else its script, and MARK above it for marks."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
+    found = np.array([OTHER if k in "LM" else 0 for k in kinds], np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             own = found[a : b + 1]
             own[own > 0] = k
-    return found
+    return found | np.array([MARK if k == "M" else 0 for k in kinds], np.uint8)
 
 
 def classes() -> np.ndarray:
     return held(("scripts",), _classes)
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points of the text in lower case, one for each of its characters."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
+    return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _in_words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place its script, 0 outside words, and whether a word has it: marks before any letter are in none."""
+    kind = classes()[points]
+    inside = kind > 0
+    mark = kind >= MARK
+    for i in np.flatnonzero(mark & ~np.concatenate([[False], inside[:-1]])).tolist():
+        while i < len(mark) and mark[i]:
+            inside[i] = False
+            i += 1
+    return np.where(inside, kind & (MARK - 1), 0), inside
+
+
 @dataclass
 class Words:
     """The words of some texts: grams[k] and gram_word[k] for each order, script, letters and text by word."""
@@ -85,12 +105,11 @@ class Words:
 
 def words(texts: list[str]) -> Words:
     """Words with their n-grams, a boundary on both sides, hashed to BUCKETS."""
-    parts = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    parts = [_points(t) for t in texts]
     sizes = np.array([len(p) + 2 for p in parts])
     gap = np.zeros(1, np.uint32)
     points = np.concatenate([x for p in parts for x in (gap, p, gap)]) if parts else gap[:0]
-    kind = classes()[points]
-    inside = kind > 0
+    kind, inside = _in_words(points)
     points = np.where(inside, points, 0).astype(np.uint64)
     first = np.flatnonzero(inside & ~np.roll(inside, 1))
     last = np.flatnonzero(inside & ~np.roll(inside, -1))
@@ -222,10 +241,13 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 def labels(scores: np.ndarray, switch: float) -> np.ndarray:
     """As ``viterbi``, at once where one label wins throughout."""
-    total = scores.cumsum(axis=0)
-    top = int(total[-1].argmax())
-    gain = np.concatenate([np.zeros((1, scores.shape[1])), total - total[:, top : top + 1]])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch:
+    top = int(scores.sum(axis=0).argmax())
+    if scores.shape[1] == 1:
+        return np.zeros(len(scores), np.int32)
+    others = scores.copy()
+    others[:, top] = -np.inf
+    gain = np.concatenate([[0.0], (others.max(axis=1) - scores[:, top]).cumsum()])
+    if (gain - np.minimum.accumulate(gain)).max() <= switch:
         return np.full(len(scores), top, np.int32)
     return viterbi(scores, switch)
 
@@ -239,7 +261,7 @@ def _cut(text: str, most: int | None = None) -> Iterator[tuple[int, str]]:
     most, at = most or AT_ONCE, 0
     while len(text) - at > most:
         end = at + most
-        while end > at and text[end - 1].isalpha():
+        while end > at and unicodedata.category(text[end - 1])[0] in "LM":
             end -= 1
         end = end if end > at else at + most
         yield at, text[at:end]
@@ -336,8 +358,7 @@ def lettered(texts: pa.Array) -> pa.Array:
     found = []
     for i in range(0, len(texts), 64):
         for t in texts.slice(i, 64).to_pylist():
-            points = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            found.append(bool((classes()[points] > 0).any()))
+            found.append(bool(_in_words(_points(t or ""))[1].any()))
     return pa.array(found, pa.bool_())
 
 

@@ -34,6 +34,38 @@ def test_labels_are_the_best_of_all_sequences(n, k, switch, rng):
     assert abs(value(language.labels(scores, switch)) - best) < 1e-9
 
 
+def _best(scores, switch):
+    """The value of the best sequence, by plain dynamic programming over all pairs of neighbours."""
+    best = list(scores[0])
+    for row in scores[1:]:
+        best = [max(b - switch * (i != j) for i, b in enumerate(best)) + x for j, x in enumerate(row)]
+    return max(best)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 4), st.lists(st.tuples(st.integers(1, 6), st.lists(st.sampled_from([-100.0, -3.0, 0.0, 1.0, 2.5]), min_size=4, max_size=4)), min_size=1, max_size=5))
+def test_labels_of_long_neighbouring_runs(k, runs):
+    scores = np.array([row[:k] for n, row in runs for _ in range(n)])
+    path = language.labels(scores, 12.0)
+    value = sum(scores[i, x] for i, x in enumerate(path)) - 12.0 * sum(a != b for a, b in zip(path, path[1:]))
+    assert abs(value - _best(scores.tolist(), 12.0)) < 1e-9
+
+
+def test_two_runs_share_a_switch():
+    scores = np.array([[0.0, 2.5, -100.0]] * 4 + [[0.0, -100.0, 2.5]] * 4)
+    assert language.labels(scores, 12.0).tolist() == [1] * 4 + [2] * 4
+
+
+def test_marks_alone_are_no_letters_and_places_are_those_of_the_text(spark):
+    rows = [(i, "hello the world and more of it", "en") for i in range(9)]
+    docs = spark.createDataFrame([(1, "\u0301\u0301 \u0302", "en"), (2, "\u0301a", "en"), (3, "İİ İx", "en")], "doc_id long, text string, lang string")
+    model = language.learn(language.labelled_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    assert [got[i]["lang"] for i in (1, 2, 3)] == ["und", "en", "en"] and got[1]["score"] == 0
+    assert [tuple(s) for s in got[2]["spans"]] == [(1, 2, "en")] and [tuple(s) for s in got[3]["spans"]] == [(0, 5, "en")]
+    assert sorted(r["doc_id"] for r in language.with_language(docs).collect()) == [2, 3]
+
+
 def test_held_out_accuracy_and_mixed_spans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learn(language.labelled_rows(docs))
