@@ -1,18 +1,22 @@
 """Token ids of whole texts by the tokenizers library, a word at a time.
 
 The vocabulary's pre-tokenizer drops white space and never joins across it, and its normaliser lower-
-cases, so a text's ids are those of its words one after the other. Each Python worker keeps the ids
-of the words it has seen, in two generations of a bounded size, and gives only new words to the
-library.
+cases, so a text's ids are those of its words one after the other. Added tokens (``<|endoftext|>``)
+are cut out of a text first, as they are written, and have their own ids, as in the library. Each
+Python worker keeps the ids of the words it has seen, in two generations of a bounded size, and gives
+only new words to the library.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
-import sys
+import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 WORDS_KEPT = 300_000
 END_ID = 1
@@ -25,16 +29,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_held: dict[tuple, object] = {}
+
+
 def held(key: tuple, make):
     """An object kept by this Python process, so that the tasks that it runs share it.
 
-    Only one is kept: what an operator held goes when the process comes to work for another.
+    Only one is kept: what an operator held goes, and its memory back to the system, when the process
+    comes to work for another.
     """
-    store = sys.__dict__.setdefault("_folio_held", {})
-    if key not in store:
-        store.clear()
-        store[key] = make()
-    return store[key]
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _held[key] = make()
+    return _held[key]
 
 
 class Recent:
@@ -66,7 +78,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # what is left of a text when they are cut out is ordinary
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("this vocabulary has added tokens that are not found as they are written")
+        self.added = {t.content.encode(): i.to_bytes(4, "little") for i, t in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")" if self.added else b"(?!)")
         self.words = Recent(most)
 
     def _library(self, words: list[bytes], plain: bool) -> None:
@@ -92,11 +109,16 @@ class WordEncoder:
         self.words.new.update([(w, get(w[:-1]) + get(w[-1:])) for w in ended])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").encode().lower().split() for t in texts]
+        raws = [(t or "").encode() for t in texts]
+        cut = {i: self.cuts.split(raw) for i, raw in enumerate(raws) if self.cuts.search(raw)}  # ordinary, added, ordinary ...
+        rows = [b" ".join(cut[i][::2] if i in cut else [raw]).lower().split() for i, raw in enumerate(raws)]
         self.words.turn()
         self._learn(self.words.missing(set(itertools.chain.from_iterable(rows))))
         get = self.words.new.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        ids = [b"".join(map(get, r)) for r in rows]
+        for i, parts in cut.items():
+            ids[i] = b"".join(self.added[x] if k % 2 else b"".join(map(get, x.lower().split())) for k, x in enumerate(parts))
+        return ids
 
 
 def _plain(word: str) -> bool:

@@ -25,6 +25,8 @@ TEXTS = [
     "\x00  ﬁ 日本語 ٣ a. b., c.. é. x́, ª º ª. 1. the's. ǅ ß ẞ",
     "word " * 9000,
     "😀▁▁a  b\n\nc <s> <0x0A>",
+    "foo <|endoftext|> bar<|startoftext|>Baz <|ENDOFTEXT|> <|endoftext|<|endoftext|>",
+    "<|endoftext|><|startoftext|>é<|endoftext|>́x <|end oftext|>",
 ]
 
 
@@ -37,7 +39,6 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -53,11 +54,11 @@ def test_word_encoder_is_the_library(library):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), max_size=4))
-def test_word_encoder_on_any_text(texts):
+@given(st.lists(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=30), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|"])), max_size=4).map("".join), max_size=4))
+def test_word_encoder_on_any_text(library, texts):
     t = tokens.encoder(tokens.default_path())
     for text, raw in zip(texts, t.encode(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+        assert [*np.frombuffer(raw, "<u4").tolist(), 1] == library(text)
 
 
 def test_packed_sequences(docs, library):
