@@ -1,12 +1,16 @@
 """Exact dedup: two-pass Bloom filtering finds possibly repeated hashes; only those rows shuffle.
 
-The first pass puts the hash of every row into a Bloom filter with two planes of bits: set once,
-and set twice or more. The second pass looks every row up in the plane of repeats: a row with any
-bit missing there has no copy and passes straight through; the others are grouped by their whole
-SHA-256, so that a false alarm costs a shuffled row and never a wrong result.
-
-The filter takes ``BITS_PER_ROW`` bits a row, at most ``MAX_FILTER_BITS`` (64 MiB, which is what gets
-broadcast). Above that size it fills up: more rows shuffle, and with under four bits a row, all do.
+The hashes are cut into blocks of about BLOCK, each with a Bloom filter of its own, of two planes of
+bits: set once, and set twice or more. In the first pass every part of the rows (what one task wrote)
+sends the hashes it has to their blocks, once each, and they set their bits. In the second pass a
+block looks its hashes up in the plane of repeats and tells the parts which of theirs may have a copy
+(see ``told``). A row with a hash that its part was not told of passes straight through; the others
+are grouped by their whole SHA-256, so that a false alarm costs a shuffled row and never a wrong
+result. There are as many filters as the rows need, none is collected or broadcast, and rows stay
+where they are.
+
+Groups are counted before they shuffle. Those with over one in HOT of the flagged rows, fewer than HOT by their
+size, are broadcast to their rows, so that no large group meets in one task.
 """
 
 from __future__ import annotations
@@ -15,20 +19,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import documents, numbered, pick, slices, stored
+from folio.llm.told import Told
 
 BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 29
 PROBES = 4
-BLOCKS = 256
-FLUSH = 1 << 21
+BLOCK = 1 << 18
+FLUSH = 1 << 20
+HOT = 10_000
 
-DIGEST = "doc_id long, text_sha256 binary, h long"
+DIGEST = "doc_id long, text_sha256 binary, h long, part int"
 LEAST = -(1 << 63)
 
 
@@ -36,98 +41,89 @@ def _digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode().lower()).digest()  # bytes.lower() changes A-Z only
 
 
+def _hashed(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """SHA-256 of the texts and, as the hash, its first eight bytes."""
+    found = [_digest(x) for x in texts.to_pylist()]
+    return pa.array(found, pa.binary()), pa.array(np.array([int.from_bytes(x[:8], "little", signed=True) for x in found], np.int64))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
     for b in slices(batches, 1024):
-        found = [_digest(x) for x in b["text"].to_pylist()]
-        h = np.array([int.from_bytes(x[:8], "little", signed=True) for x in found], np.int64)
-        yield pa.record_batch([b["doc_id"], pa.array(found, pa.binary()), pa.array(h)], ["doc_id", "text_sha256", "h"])
+        yield pa.record_batch([b["doc_id"], *_hashed(b["text"]), pa.array(np.full(b.num_rows, part, np.int32))], ["doc_id", "text_sha256", "h", "part"])
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_sha256, h) of the texts, A-Z lower-cased; a null text counts as empty."""
+    """(doc_id, text_sha256, h, part) of the texts, A-Z lower-cased; a null text counts as empty."""
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(_digests, DIGEST)
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """The bits that a hash sets: PROBES by rows."""
+    """The bits that a hash sets in the filter of its block: PROBES by rows."""
     u = h.view(np.uint64)
     a, b = u & np.uint64(0xFFFFFFFF), (u >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.uint32) for i in range(PROBES)])
+    return np.stack([((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)])
 
 
-def _partial_planes(bits: int):
-    each = max(bits // BLOCKS, 8)
+def _sent(blocks: int):
+    """(block, part, h, again) of a part's hashes, once each; ``again`` where the part has one twice."""
+    shift = np.uint64(64 - (blocks.bit_length() - 1))
 
-    def blocks(parts: list[np.ndarray]) -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(parts), return_counts=True)
-        block = (at // each).astype(np.int64)
-        edges = np.flatnonzero(np.diff(block, prepend=-1))
-        rows = [(int(block[i]), at[i:j].tobytes(), at[i:j][n[i:j] > 1].tobytes()) for i, j in zip(edges, [*edges[1:], len(at)])]
-        return pa.RecordBatch.from_pylist([dict(zip(("block", "once", "twice"), r)) for r in rows], pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
+    def messages(part: int, h: np.ndarray) -> pa.RecordBatch:
+        h, n = np.unique(h, return_counts=True)
+        block = (h.view(np.uint64) >> shift if blocks > 1 else np.zeros(len(h))).astype(np.int64)
+        return pa.record_batch([pa.array(block), pa.array(np.full(len(h), part, np.int32)), pa.array(h), pa.array(n > 1)], ["block", "part", "h", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
         for b in batches:
-            if b.num_rows:
-                held.append(positions(b["h"].to_numpy(zero_copy_only=False), bits).ravel())
-                size += len(held[-1])
+            part, h = (b[c].to_numpy(zero_copy_only=False) for c in ("part", "h"))
+            for p in np.unique(part).tolist():
+                held.setdefault(p, []).append(h[part == p])
+            size += len(h)
             if size >= FLUSH:
-                yield blocks(held)
-                held, size = [], 0
-        if held:
-            yield blocks(held)
+                yield from (messages(p, np.concatenate(x)) for p, x in held.items())
+                held, size = {}, 0
+        yield from (messages(p, np.concatenate(x)) for p, x in held.items())
 
     return run
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block's bits that are set twice: in one part, or in two."""
-    at, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["once"]]), return_counts=True)
-    twice = np.concatenate([at[n > 1], *[np.frombuffer(x, np.uint32) for x in rows["twice"]]])
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "twice": [np.unique(twice).tobytes()]})
-
-
-class Repeats:
-    """The plane of repeated bits; ``None`` where the rows are too many for a filter of the size allowed."""
-
-    def __init__(self, keys: DataFrame, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_FILTER_BITS):
-        n = keys.count()
-        self.bits = 1 << max(12, min(max_bits, max(1, n * bits_per_row)).bit_length())
-        self.bits = min(self.bits, max_bits)
-        self.plane = None
-        if n * 4 <= max_bits:
-            plane = np.zeros(self.bits, bool)
-            parts = keys.select("h").mapInArrow(_partial_planes(self.bits), "block long, once binary, twice binary")
-            for r in parts.groupBy("block").applyInPandas(_merged, "block long, twice binary").toLocalIterator():
-                plane[np.frombuffer(r["twice"], np.uint32)] = True
-            self.plane = keys.sparkSession.sparkContext.broadcast(np.packbits(plane, bitorder="little").tobytes())
-
-    def lookup(self):
-        """A function on arrays of hashes: may each be repeated?"""
-        held, bits = self.plane, self.bits
+def _repeated(bits_per_row: int):
+    """Of a block's messages: (part, n) for the hashes whose bits are all set twice."""
 
-        def maybe(h: np.ndarray) -> np.ndarray:
-            if held is None:
-                return np.ones(len(h), bool)
-            plane = np.frombuffer(held.value, np.uint8)
-            p = positions(h, bits)
-            return ((plane[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
-
-        return maybe
+    def run(rows: pa.Table) -> pa.Table:
+        part, h, again = (rows[c].to_numpy() for c in ("part", "h", "again"))
+        bits = 1 << max(6, (len(h) * bits_per_row - 1).bit_length())
+        at = positions(h, bits)
+        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        for probe in at:
+            seen, first, n = np.unique(probe, return_index=True, return_counts=True)
+            twice[seen[(n > 1) | once[seen]]] = True
+            once[seen] = True
+        twice[at[:, again]] = True
+        maybe = twice[at].all(axis=0)
+        return pa.table({"part": pa.array(part[maybe], pa.int32()), "n": pa.array(h[maybe], pa.int64())})
 
+    return run
 
-def _marked(maybe):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b["doc_id"], b["text_sha256"], pa.array(maybe(b["h"].to_numpy(zero_copy_only=False)))], ["doc_id", "text_sha256", "maybe"])
 
-    return run
+def repeats(keys: DataFrame, bits_per_row: int = BITS_PER_ROW, block: int = BLOCK) -> Told:
+    """What each part of ``keys`` (columns h and part, stored) is told of: its hashes that may be repeated."""
+    blocks = 1 << max(0, -(-keys.count() // block) - 1).bit_length()
+    sent = keys.select("part", "h").mapInArrow(_sent(blocks), "block long, part int, h long, again boolean")
+    return Told(sent.groupBy("block").applyInArrow(_repeated(bits_per_row), "part int, n long"), "repeats")
 
 
-def _keepers(flagged: DataFrame) -> DataFrame:
-    """For each repeated text: the largest doc_id, null counting as the smallest, and the rows."""
-    return flagged.groupBy("text_sha256").agg(F.max(F.coalesce("doc_id", F.lit(LEAST))).alias("keep"), F.count("*").alias("group_size"))
+def _with_keepers(flagged: DataFrame, keep: Column) -> DataFrame:
+    """``flagged`` (stored) with the largest ``keep`` of the rows of one text, and their number."""
+    keepers = stored(flagged.groupBy("text_sha256").agg(F.max(keep).alias("keep"), F.count("*").alias("group_size")), "keepers")
+    hot = F.col("group_size") * HOT > flagged.count()
+    heavy = F.broadcast(keepers.where(hot))  # under HOT rows
+    light = flagged.join(heavy, "text_sha256", "left_anti").join(keepers.where(~hot), "text_sha256")
+    return flagged.join(heavy, "text_sha256").unionByName(light)
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,44 +136,34 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty table gives no rows.
     """
     keys = stored(digests(df, id_col, text_col), "digests")
-    marked = keys.mapInArrow(_marked(Repeats(keys).lookup()), "doc_id long, text_sha256 binary, maybe boolean")
+    marked = stored(keys.select("doc_id", "text_sha256", repeats(keys).column("part", "h").alias("maybe")), "marked")
     sha = F.lower(F.hex("text_sha256")).alias("text_sha256")
     alone = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    flagged = marked.where("maybe").drop("maybe")
-    grouped = flagged.join(_keepers(flagged), "text_sha256").select(
-        "doc_id",
-        F.nullif(F.col("keep"), F.lit(LEAST)).alias("keep_id"),
-        "group_size",
-        (F.coalesce("doc_id", F.lit(LEAST)) == F.col("keep")).alias("kept"),
-        sha,
-    )
-    return alone.unionByName(grouped)
+    own = F.coalesce("doc_id", F.lit(LEAST))
+    grouped = _with_keepers(marked.where("maybe").drop("maybe"), own)
+    return alone.unionByName(grouped.select("doc_id", F.nullif("keep", F.lit(LEAST)).alias("keep_id"), "group_size", (own == F.col("keep")).alias("kept"), sha))
 
 
 def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows that ``decide`` drops, all columns as they were, one row of each text.
 
-    Whole rows pass through where the filter shows that they have no copy; only the others shuffle,
-    by text and id, so that no group of copies meets in one task.
+    Rows are written once, with their digests, and stay in their parts: only the digests of possible
+    copies shuffle, and each part is told which of its rows go.
     """
     rows, names = numbered(df)
-    c_id, c_text = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}")
-    keys = stored(digests(df, id_col, text_col), "digests")
-    maybe = Repeats(keys).lookup()
 
-    @F.arrow_udf("sha binary, maybe boolean")
+    @F.arrow_udf("sha binary, h long")
     def look(texts: pa.Array) -> pa.Array:
-        found = [_digest(x) for i in range(0, len(texts), 512) for x in texts.slice(i, 512).to_pylist()]
-        h = np.array([int.from_bytes(x[:8], "little", signed=True) for x in found], np.int64)
-        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(maybe(h), pa.bool_())], ["sha", "maybe"])
-
-    rows = rows.withColumn("look", look(c_text))
-    marked = keys.mapInArrow(_marked(maybe), "doc_id long, text_sha256 binary, maybe boolean").where("maybe")
-    keepers = _keepers(marked).select(F.col("text_sha256").alias("sha"), F.col("keep").alias("ord"))
-    flagged = rows.where("look.maybe").withColumns({"sha": F.col("look.sha"), "ord": F.coalesce(c_id, F.lit(LEAST))})
-    kept = flagged.join(keepers, ["sha", "ord"], "left_semi").dropDuplicates(["sha", "ord"])
-    columns = [f"c{i}" for i in range(len(names))]
-    return rows.where("NOT look.maybe").select(*columns).unionByName(kept.select(*columns)).toDF(*names)
+        parts = [_hashed(texts.slice(i, 512)) for i in range(0, max(1, len(texts)), 512)]
+        return pa.StructArray.from_arrays([pa.concat_arrays([p[k] for p in parts]) for k in (0, 1)], ["sha", "h"])
+
+    c_id, c_text = (F.col(f"c{names.index(x)}") for x in (id_col, text_col))
+    rows = stored(rows.select("*", look(c_text).alias("look"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "hashed")
+    keys = rows.select(F.col("look.sha").alias("text_sha256"), F.col("look.h").alias("h"), "part", "n", F.coalesce(c_id.cast("long"), F.lit(LEAST)).alias("ord"))
+    marked = keys.select("*", repeats(keys).column("part", "h").alias("maybe"))
+    flagged = stored(marked.where("maybe").drop("maybe", "h"), "flagged")
+    gone = _with_keepers(flagged, F.struct("ord", "n")).where("n <> keep.n").select("part", "n")
+    return rows.where(~Told(gone, "gone").column("part", "n")).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

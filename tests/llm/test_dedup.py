@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -56,22 +57,21 @@ def test_unique_rows_keeps_one_row_a_text_and_all_columns(cases):
     assert sorted(texts) == sorted({lowered(t) for _, t in CASES})
 
 
-@pytest.mark.parametrize("settings", [dict(bits_per_row=1), dict(bits_per_row=64), dict(max_bits=8)])
+@pytest.mark.parametrize("settings", [dict(bits_per_row=1), dict(bits_per_row=64), dict(block=8), dict(block=1, bits_per_row=1)])
 def test_filter_has_no_false_dismissals(spark, settings):
     rng = random.Random(5)
     rows = [(i, f"text {rng.randrange(400)}") for i in range(600)]
-    keys = exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
-    maybe = exact_dedup.Repeats(keys, **settings).lookup()
-    times = {}
-    for r in keys.collect():
-        times.setdefault(r["h"], []).append(1)
-    import numpy as np
+    keys = exact_dedup.stored(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)), "keys")
+    marked = keys.select("h", exact_dedup.repeats(keys, **settings).column("part", "h").alias("maybe")).collect()
+    times = Counter(r["h"] for r in marked)
+    assert len(marked) == 600 and all(r["maybe"] for r in marked if times[r["h"]] > 1)
+    if settings == dict(bits_per_row=64):
+        assert sum(r["maybe"] for r in marked if times[r["h"]] == 1) < 20
 
-    repeated = np.array([h for h, n in times.items() if len(n) > 1], np.int64)
-    assert maybe(repeated).all()
 
-
-def test_hot_group(spark):
+@pytest.mark.parametrize("hot", [exact_dedup.HOT, 2])
+def test_hot_group(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
     df = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'Hot', 'text ' || id) as text")
     rows = exact_dedup.decide(df).where("group_size > 1").collect()
     assert len(rows) == 1667 and {r["keep_id"] for r in rows} == {4998} and sum(r["kept"] for r in rows) == 1
