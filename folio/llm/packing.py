@@ -1,18 +1,22 @@
 """Best-fit packing: bulk-synchronous rounds over range-sorted pieces and gaps.
 
-Pieces are range-sorted by length (then id), which gives every piece a rank among those of its
-length. Pieces of one length are interchangeable, and so are gaps of one size, so a round works on
-whole size classes: for the longest class left, the successor sweep finds the smallest class of gaps
-that fits; ranks settle which pieces get which gaps (the n-th piece takes the n-th gap); the class of
-the gaps used moves down by the length; the rest go to the next round, and where no gap fits, new
-sequences open. The sweep's state is one entry a size, at most ``capacity`` of them, and a run of
-sequence numbers for each split: it does not grow with the number of pieces. The matching of all
-pieces to their sequences runs on the executors, from ranks and that plan.
+Pieces and gaps are two tables of rows. A round range-sorts both together by size and sweeps every
+part from small to large: a gap takes the longest piece before it that is free, so each piece that is
+taken gets a gap that is its successor in the order. What a part cannot settle goes on: the gaps that
+found no piece are counted, and the pieces left over, and from these two numbers a part the rank of
+each says which gap of a later part takes which piece of an earlier one. Gaps shrink by what they
+took, pieces without a gap and the shrunk gaps meet again in the next round.
+
+It starts with as many gaps as the tokens fill. When a round places under one in SLOW of the pieces
+that are left, too few of the gaps fit them, and as many new gaps open as they fill.
+
+So that short pieces do not take a round each, those under one in SHORT of a sequence go in bundles of up to
+that length until bundles no longer fit, and a gap takes several of that length in one sweep.
 """
 
 from __future__ import annotations
 
-import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +30,8 @@ from folio.llm.common import documents, pick, slices, stored
 from folio.llm.tokens import END_ID, default_path, encoder, with_end
 
 CAPACITY = 4096
+SHORT = 16
+SLOW = 50
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,98 +53,159 @@ def _cut(path: str, capacity: int, end_id: int):
 
 
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every document's ids, with the end id, in pieces of at most ``capacity``."""
+    """Every document's ids, with the end id, in pieces of at most ``capacity``.
+
+    A null text has the end id alone; repeated ids and rows have pieces of their own.
+    """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(_cut(path, capacity, end_id), PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """The plan: (length, first rank, first sequence, place in it) for runs of ranks, and sequences used.
+def _bundled(limit: int):
+    """Pieces with a number ``n``, and the number and place in it of their bundle of at most ``limit``, that of its first piece."""
 
-    Rounds of best fit, longest first; see the module's text. ``counts`` holds pieces by length.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # of the gaps there are, ascending
-    plan, used = [], 0
-
-    def add(size: int, first: int, n: int) -> None:
-        if size not in gaps:
-            gaps[size] = []
-            bisect.insort(sizes, size)
-        gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                n = -(-left // (capacity // length))
-                add(capacity, used, n)
-                used += n
-                continue
-            size = sizes[at]
-            first, n = gaps[size].pop()
-            take = min(n, left)
-            if take < n:
-                gaps[size].append((first + take, n - take))
-            if not gaps[size]:
-                del gaps[size], sizes[at]
-            plan.append((length, rank, first, capacity - size))
-            if size > length:
-                add(size - length, first, take)
-            rank, left = rank + take, left - take
-    return plan, used
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted part: each piece's rank among the part's pieces of its length."""
-    part, last, seen = TaskContext.get().partitionId(), -1, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        length = b["length"].to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(np.diff(length, prepend=length[0] - 1))
-        at = np.arange(len(length)) - np.repeat(new, np.diff([*new, len(length)]))
-        if length[0] == last:
-            at[: new[1] if len(new) > 1 else len(at)] += seen
-        last, seen = int(length[-1]), int(at[-1]) + 1
-        yield pa.record_batch([*b.columns, pa.array(np.full(len(at), part, np.int32)), pa.array(at.astype(np.int64))], [*b.schema.names, "part", "rank"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        own, used = n, limit
+        for b in batches:
+            bundle, inner = [], []
+            for k, length in enumerate(b["length"].to_pylist(), n):
+                if length >= limit:
+                    bundle.append(k)
+                    inner.append(0)
+                    continue
+                if used + length > limit:
+                    own, used = k, 0
+                bundle.append(own)
+                inner.append(used)
+                used += length
+            numbers = pa.array(np.arange(n, n + b.num_rows))
+            n += b.num_rows
+            yield pa.record_batch([*b.columns, numbers, pa.array(bundle, pa.int64()), pa.array(inner, pa.int64())], [*b.schema.names, "n", "bundle", "inner"])
 
+    return run
+
+
+SWEPT = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("gap", pa.int64()), ("room", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
+
+
+def _sweep(short: int):
+    """One part, sorted by size: (item, length, gap, room) of matches; what is left has nulls, its part and its rank there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, free, alone = TaskContext.get().partitionId(), [], 0
+
+        def rows(item: list, length: list, gap: list, room: list, rank: list) -> pa.RecordBatch:
+            n = max(len(item), len(gap))
+            full = lambda x: pa.array(x, pa.int64()) if x else pa.nulls(n, pa.int64())
+            return pa.record_batch([*map(full, (item, length, gap, room)), pa.array(np.full(n, part, np.int32)), full(rank)], schema=SWEPT)
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (columns of PIECES) with sequence_id and offset."""
-    spark = cut.sparkSession
-    ordered = cut.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    ranked = stored(ordered.mapInArrow(_ranked, f"{PIECES}, part int, rank long"), "ranked")
-    classes = sorted((r["length"], r["part"], r["n"]) for r in ranked.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    ahead = []  # pieces of the length in earlier parts
-    for length, _, n in classes:
-        ahead.append(counts.get(length, 0))
-        counts[length] = ahead[-1] + n
-    plan, _ = best_fit(counts, capacity)
-    plan = np.array(sorted(plan), np.int64).reshape(-1, 4)
-    most = 1 << 44  # pieces of a length
-    known = spark.sparkContext.broadcast(
-        (
-            np.array([length * most + part for length, part, _ in classes], np.int64),
-            np.array(ahead, np.int64),
-            plan[:, 0] * most + plan[:, 1],
-            plan,
-        )
-    )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ahead, starts, plan = known.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            length, part, rank = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "part", "rank"))
-            rank = rank + ahead[np.searchsorted(keys, length * most + part)]
-            row = plan[np.searchsorted(starts, length * most + rank, "right") - 1]
-            yield pa.record_batch([*[b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            taken, lone = [], []
+            for is_gap, number, size in zip(*(b[c].to_pylist() for c in ("is_gap", "id", "size"))):
+                if not is_gap:
+                    free.append((number, size))
+                elif free:
+                    taken.append((*free.pop(), number, size))
+                    size -= taken[-1][1]
+                    while free and free[-1][1] <= min(size, short):
+                        taken.append((*free.pop(), number, size))
+                        size -= taken[-1][1]
+                else:
+                    lone.append((number, size))
+            if taken:
+                yield rows(*map(list, zip(*taken)), [])
+            if lone:
+                yield rows([], [], *map(list, zip(*lone)), list(range(alone, alone + len(lone))))
+                alone += len(lone)
+        for i in range(0, len(free), 1 << 16):
+            own = free[i : i + (1 << 16)]
+            yield rows(*map(list, zip(*own)), [], [], list(range(i, i + len(own))))
+
+    return run
+
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+def _carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """From (part, gaps left, items left) of all parts in order: which runs of ranks meet.
+
+    (part of the gaps, first rank, part of the items, rank after the last, how many): gaps take the longest
+    items of earlier parts that are free. Two runs a part at most.
+    """
+    free: list[list[int]] = []
+    runs = []
+    for part, gaps, items in left:
+        at = 0
+        while at < gaps and free:
+            take = min(free[-1][1], gaps - at)
+            runs.append((part, at, *free[-1], take))
+            free[-1][1] -= take
+            at += take
+            if not free[-1][1]:
+                free.pop()
+        if items:
+            free.append([part, items])
+    return runs
+
+
+def _round(state: DataFrame, short: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Of (is_gap, id, size): matches (item, length, gap, room), the state after them, how many matches and items left."""
+    spark = state.sparkSession
+    ordered = state.repartitionByRange("size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id")
+    swept = stored(ordered.mapInArrow(_sweep(short), "item long, length long, gap long, room long, part int, rank long"), "swept")
+    here, gaps, items = "item IS NOT NULL AND gap IS NOT NULL", "item IS NULL", "gap IS NULL"
+    parts = swept.groupBy("part").agg(*[F.count_if(F.expr(x)).alias(n) for x, n in ((here, "here"), (gaps, "gaps"), (items, "items"))]).orderBy("part").collect()
+    runs, first = [], 0
+    for run in _carried([(r["part"], r["gaps"], r["items"]) for r in parts]):
+        runs.append((*run, first))
+        first += run[4]
+    matched = swept.where(here).select("item", "length", "gap", "room")
+    left = swept.where(f"NOT ({here})").withColumn("meet", F.lit(None).cast("long"))
+    if runs:
+        plan = F.broadcast(spark.createDataFrame(runs, "gap_part int, gap_rank long, item_part int, item_rank long, take long, first long"))
+        gap_rows = swept.where(gaps).join(plan, F.expr("part = gap_part AND rank >= gap_rank AND rank < gap_rank + take"), "left")
+        gap_rows = gap_rows.select("item", "length", "gap", "room", "part", "rank", F.expr("first + rank - gap_rank").alias("meet"))
+        item_rows = swept.where(items).join(plan, F.expr("part = item_part AND rank < item_rank AND rank >= item_rank - take"), "left")
+        item_rows = item_rows.select("item", "length", "gap", "room", "part", "rank", F.expr("first + item_rank - 1 - rank").alias("meet"))
+        met = item_rows.where("meet IS NOT NULL").select("item", "length", "meet").join(gap_rows.where("meet IS NOT NULL").select("gap", "room", "meet"), "meet")
+        matched = stored(matched.unionByName(met.drop("meet")), "matched")
+        left = gap_rows.unionByName(item_rows).where("meet IS NULL")
+    shrunk = matched.groupBy("gap").agg(F.min(F.col("room") - F.col("length")).alias("size")).where("size > 0").select(F.lit(True).alias("is_gap"), F.col("gap").alias("id"), "size")
+    after = shrunk.unionByName(left.select(F.col("gap").isNotNull().alias("is_gap"), F.coalesce("gap", "item").alias("id"), F.coalesce("room", "length").alias("size")))
+    n = sum(r["here"] for r in parts) + first
+    rest = sum(r["items"] for r in parts) - first
+    return matched, after, n, rest
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``cut`` (columns of PIECES) with sequence_id and offset. Every round is written to the shared folder."""
+    spark, short = cut.sparkSession, max(1, capacity // SHORT)
+    cut = stored(cut.mapInArrow(_bundled(short), f"{PIECES}, n long, bundle long, inner long"), "pieces")
+    total, rest = cut.agg(F.sum("length"), F.count("*")).first()
+    items = lambda rows, by: rows.groupBy(by).agg(F.sum("length").alias("size")).select(F.lit(False).alias("is_gap"), F.col(by).alias("id"), "size")
+    gaps = lambda a, b: spark.range(a, b).select(F.lit(True).alias("is_gap"), "id", F.lit(capacity).cast("long").alias("size"))
+    opened, bundles, placed = -(-(total or 0) // capacity), True, []
+    state = items(cut, "bundle").unionByName(gaps(0, opened))
+    while rest:
+        matched, state, n, rest = _round(state, short)
+        if n:
+            placed.append(matched.select(F.lit(bundles).alias("bundles"), F.col("item").alias("id"), "gap", "room"))
+        if rest and n * SLOW < rest:
+            if bundles:
+                left = state.where("NOT is_gap").select(F.col("id").alias("bundle"))
+                state = stored(state.where("is_gap").unionByName(items(cut.join(left, "bundle", "left_semi"), "n")), "split")
+                rest, bundles = state.where("NOT is_gap").count(), False
+            else:
+                more = -(-state.where("NOT is_gap").agg(F.sum("size")).first()[0] // capacity)
+                state = state.unionByName(gaps(opened, opened + more))
+                opened += more
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if not placed:
+        return cut.select(*names, *[F.lit(0).cast("long").alias(x) for x in ("sequence_id", "offset")])
+    whole = F.struct(F.lit(True).alias("bundles"), F.col("bundle").alias("id"), "inner")
+    single = F.struct(F.lit(False).alias("bundles"), F.col("n").alias("id"), F.lit(0).cast("long").alias("inner"))
+    found = cut.select(*names, F.explode(F.array(whole, single)).alias("key")).select(*names, "key.*")
+    found = found.join(functools.reduce(DataFrame.unionByName, placed), ["bundles", "id"])
+    return found.select(*names, F.col("gap").alias("sequence_id"), (capacity - F.col("room") + F.col("inner")).alias("offset"))
 
 
 def packed(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -148,7 +215,7 @@ def packed(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     ids and rows are packed like any others, each on its own; rows without an id keep a null doc_id.
     Other columns are not read. An empty table gives no rows.
     """
-    return pack(stored(pieces(df, path or default_path(), id_col, text_col, capacity), "pieces"), capacity)
+    return pack(pieces(df, path or default_path(), id_col, text_col, capacity), capacity)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

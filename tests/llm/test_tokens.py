@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -66,50 +67,73 @@ def test_packed_sequences(docs, library):
     got = packing.packed(df).collect()
     want = sorted((str(i), k // 4096, k, len(p := ids[k : k + 4096]), crc(p)) for i, t in rows for ids in [library(t)] for k in range(0, len(ids), 4096))
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
-    sequences = defaultdict(list)
-    for r in got:
-        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 4096
+    sequences(got, 4096)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
-def test_best_fit_places_every_rank_once(counts):
-    plan, used = packing.best_fit(counts, 64)
-    starts = defaultdict(list)
-    for length, rank, first, place in plan:
-        starts[length].append((rank, first, place))
-    room = defaultdict(list)
-    for length, runs in starts.items():
-        runs.sort()
-        assert runs[0][0] == 0
-        for (rank, first, place), end in zip(runs, [*[r[0] for r in runs[1:]], counts[length]]):
-            for k in range(end - rank):
-                room[first + k].append((place, length))
-    assert set(starts) == set(counts) and len(room) == used
-    for parts in room.values():
+def best_fit(lengths, capacity):
+    """Sequences of plain best fit, longest first."""
+    gaps, used = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        used += at == len(gaps)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - length)
+    return used
+
+
+def sequences(rows, capacity):
+    """Pieces by sequence, after a look that they lie there without a gap and fit."""
+    found = defaultdict(list)
+    for r in rows:
+        found[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in found.values():
         at = 0
-        for place, length in sorted(parts):
-            assert place == at
+        for offset, length in sorted(parts):
+            assert offset == at
             at += length
-        assert at <= 64
-    plain: list[int] = []  # gaps of best fit with one piece at a time
-    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
-        fits = [g for g in plain if g >= length]
-        plain.remove(min(fits)) if fits else None
-        plain.append((min(fits) if fits else 64) - length)
-    assert used <= len(plain) + max(1, len(plain) // 20)
-
-
-def test_ranks_over_many_parts(spark):
-    cut = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 7L, id % 50 + 1) as length", "0L as ids_crc32")
-    rows = packing.pack(cut.repartition(9), 64).collect()
-    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
+        assert at <= capacity
+    return found
+
+
+MIXES = {
+    "ones": lambda rng: 1,
+    "few sizes": lambda rng: rng.choice([1, 3, 15, 24, 34, 64]),
+    "any": lambda rng: rng.randint(1, 64),
+    "short": lambda rng: min(64, max(1, int(rng.lognormvariate(1.5, 1)))),
+}
+
+
+@pytest.mark.parametrize(("mix", "parts"), [("ones", 1), ("few sizes", 1), ("any", 1), ("short", 6)])
+def test_packing_against_plain_best_fit(spark, mix, parts):
+    rng = random.Random(7)
+    lengths = [MIXES[mix](rng) for _ in range(800)]
+    df = spark.createDataFrame([(i % 100, 0, 0, x, 0) for i, x in enumerate(lengths)], packing.PIECES).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts == 1)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = packing.pack(df, 64).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == sorted((i % 100, x) for i, x in enumerate(lengths))
+    used, plain = len(sequences(rows, 64)), best_fit(lengths, 64)
+    assert used <= plain + max(1, plain // 50)
+
+
+def test_query_packs_as_well_as_best_fit(spark, sf_dir):
+    rows = packing.op1_packing(spark, sf_dir).collect()
+    assert len(sequences(rows, 4096)) <= best_fit([r["length"] for r in rows], 4096) + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_of_ranks_are_a_plain_stack(seed):
+    rng = random.Random(seed)
+    left = [(p, rng.randrange(6), rng.randrange(6)) for p in range(12)]
+    free, want = [], []
+    for part, gaps, items in left:
+        want += [((part, g), free.pop()) for g in range(min(gaps, len(free)))]
+        free += [(part, k) for k in range(items)]
+    runs = packing._carried(left)
+    assert [((gp, g + k), (ip, i - 1 - k)) for gp, g, ip, i, n in runs for k in range(n)] == want
 
 
 def test_token_files_read_back(docs, library):
