@@ -8,7 +8,7 @@ each says which gap of a later part takes which piece of an earlier one. Gaps sh
 took, pieces without a gap and the shrunk gaps meet again in the next round.
 
 It starts with as many gaps as the tokens fill. When a round places under one in SLOW of the pieces
-that are left, too few of the gaps fit them, and as many new gaps open as they fill.
+that are left, too few of the gaps fit them: these close, and as many new ones open as the pieces fill.
 
 So that short pieces do not take a round each, those under one in SHORT of a sequence go in bundles of up to
 that length until bundles no longer fit, and a gap takes several of that length in one sweep.
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import documents, pick, slices, stored
-from folio.llm.tokens import END_ID, default_path, encoder, with_end
+from folio.llm.tokens import END_ID, default_path, encoder, held, with_end
 
 CAPACITY = 4096
 SHORT = 16
 SLOW = 50
+#: Rows that a task sweeps, about.
+ROWS = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,6 +67,7 @@ def _bundled(limit: int):
     """Pieces with a number ``n``, and the number and place in it of their bundle of at most ``limit``, that of its first piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("packing",), dict)  # what the encoder held goes
         n = TaskContext.get().partitionId() << 33
         own, used = n, limit
         for b in batches:
@@ -94,6 +97,7 @@ def _sweep(short: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, free, alone = TaskContext.get().partitionId(), [], 0
+        held(("packing",), dict)
 
         def rows(item: list, length: list, gap: list, room: list, rank: list) -> pa.RecordBatch:
             n = max(len(item), len(gap))
@@ -147,10 +151,10 @@ def _carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def _round(state: DataFrame, short: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """Of (is_gap, id, size): matches (item, length, gap, room), the state after them, how many matches and items left."""
+def _round(state: DataFrame, rows: int, short: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Of about so many rows (is_gap, id, size): matches (item, length, gap, room), the rows after them, how many matches and items left."""
     spark = state.sparkSession
-    ordered = state.repartitionByRange("size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id")
+    ordered = state.repartitionByRange(-(-rows // ROWS), "size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id")
     swept = stored(ordered.mapInArrow(_sweep(short), "item long, length long, gap long, room long, part int, rank long"), "swept")
     here, gaps, items = "item IS NOT NULL AND gap IS NOT NULL", "item IS NULL", "gap IS NULL"
     parts = swept.groupBy("part").agg(*[F.count_if(F.expr(x)).alias(n) for x, n in ((here, "here"), (gaps, "gaps"), (items, "items"))]).orderBy("part").collect()
@@ -179,14 +183,15 @@ def _round(state: DataFrame, short: int) -> tuple[DataFrame, DataFrame, int, int
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (columns of PIECES) with sequence_id and offset. Every round is written to the shared folder."""
     spark, short = cut.sparkSession, max(1, capacity // SHORT)
-    cut = stored(cut.mapInArrow(_bundled(short), f"{PIECES}, n long, bundle long, inner long"), "pieces")
+    cut = stored(stored(cut, "pieces").mapInArrow(_bundled(short), f"{PIECES}, n long, bundle long, inner long"), "bundled")
     total, rest = cut.agg(F.sum("length"), F.count("*")).first()
     items = lambda rows, by: rows.groupBy(by).agg(F.sum("length").alias("size")).select(F.lit(False).alias("is_gap"), F.col(by).alias("id"), "size")
     gaps = lambda a, b: spark.range(a, b).select(F.lit(True).alias("is_gap"), "id", F.lit(capacity).cast("long").alias("size"))
-    opened, bundles, placed = -(-(total or 0) // capacity), True, []
+    opened = still = -(-(total or 0) // capacity)
+    bundles, placed = True, []
     state = items(cut, "bundle").unionByName(gaps(0, opened))
     while rest:
-        matched, state, n, rest = _round(state, short)
+        matched, state, n, rest = _round(state, rest + still, short)
         if n:
             placed.append(matched.select(F.lit(bundles).alias("bundles"), F.col("item").alias("id"), "gap", "room"))
         if rest and n * SLOW < rest:
@@ -195,9 +200,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 state = stored(state.where("is_gap").unionByName(items(cut.join(left, "bundle", "left_semi"), "n")), "split")
                 rest, bundles = state.where("NOT is_gap").count(), False
             else:
-                more = -(-state.where("NOT is_gap").agg(F.sum("size")).first()[0] // capacity)
-                state = state.unionByName(gaps(opened, opened + more))
-                opened += more
+                left = state.where("NOT is_gap")
+                still = -(-left.agg(F.sum("size")).first()[0] // capacity)
+                state = left.unionByName(gaps(opened, opened + still))
+                opened += still
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if not placed:
         return cut.select(*names, *[F.lit(0).cast("long").alias(x) for x in ("sequence_id", "offset")])

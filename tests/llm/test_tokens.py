@@ -103,17 +103,12 @@ MIXES = {
 
 
 @pytest.mark.parametrize(("mix", "parts"), [("ones", 1), ("few sizes", 1), ("any", 1), ("short", 6)])
-def test_packing_against_plain_best_fit(spark, mix, parts):
+def test_packing_against_plain_best_fit(spark, monkeypatch, mix, parts):
     rng = random.Random(7)
     lengths = [MIXES[mix](rng) for _ in range(800)]
     df = spark.createDataFrame([(i % 100, 0, 0, x, 0) for i, x in enumerate(lengths)], packing.PIECES).repartition(3)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts == 1)
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    try:
-        rows = packing.pack(df, 64).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    monkeypatch.setattr(packing, "ROWS", 1000 // parts)
+    rows = packing.pack(df, 64).collect()
     assert sorted((r["doc_id"], r["length"]) for r in rows) == sorted((i % 100, x) for i, x in enumerate(lengths))
     used, plain = len(sequences(rows, 64)), best_fit(lengths, 64)
     assert used <= plain + max(1, plain // 50)
