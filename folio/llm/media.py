@@ -162,7 +162,10 @@ def _as_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_as_images(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: every text as a binary PGM of 64 columns, a sample a byte."""
+    """doc_id, n_bytes, media: every text as a binary PGM of 64 columns, a sample a byte.
+
+    A null or empty text is one row of 64 zeros; repeated ids and rows keep a row each.
+    """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(_as_images, "doc_id long, n_bytes long, media binary")
 
@@ -193,30 +196,31 @@ def features(df: DataFrame, id_col: str = "id", media_col: str = "media") -> Dat
     return rows.mapInArrow(run, "id long, height int, width int, dhash string, tile binary, error string")
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out = []
         for doc, n, raw in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"].to_pylist()):
             image = decode(raw)
             own = image.tobytes()
-            out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image):016x}", zlib.crc32(thumbnail(image))))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_crc32"]
+            out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image):016x}", thumbnail(image)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
         yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored as images in the shared folder, read back from there and described.
+    """Texts stored as images in the shared folder, read back from there and described, with their NPY tiles.
 
+    The tiles and hashes are written to the shared folder too, and the rows returned are read from there.
     A null or empty text is an image of 64 zeros. Rows are handled one by one, so repeated ids and rows
     keep a row each; equal texts have equal values. Other columns are not read.
     """
     media = stored(texts_as_images(df, id_col, text_col), "media")
-    return media.mapInArrow(_read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_crc32 long")
+    return stored(media.mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"), "tiles")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(documents(spark, sf_dir))
+    return text_media(documents(spark, sf_dir)).withColumn("tile", F.crc32("tile")).withColumnRenamed("tile", "tile_crc32")
 
 
 QUERIES = {"op2_media": op2_media}

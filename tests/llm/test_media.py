@@ -66,6 +66,29 @@ def test_difference_hash_and_tiles():
 TEXTS = [(1, "abc"), (2, ""), (3, None), (4, "é" * 32), (5, "x" * 64), (6, "y" * 300_001), (1, "abc"), (None, "n")]
 
 
+def plain_resize(image, height, width):
+    """Each new sample as a weighted mean over the samples that it covers, one by one."""
+    h, w = len(image), len(image[0])
+    out = np.zeros((height, width))
+    share = lambda k, n, of: [(i, min(i + 1, (k + 1) * of / n) - max(i, k * of / n)) for i in range(of) if min(i + 1, (k + 1) * of / n) > max(i, k * of / n)]
+    for y in range(height):
+        for x in range(width):
+            out[y, x] = sum(image[i][j] * a * b for i, a in share(y, height, h) for j, b in share(x, width, w)) * height * width / h / w
+    return out
+
+
+def test_feature_and_tile_against_a_plain_version(spark):
+    texts = [(1, "The quick brown fox. " * 20), (2, "ab" * 100), (3, "é" * 61)]
+    for r in media.text_media(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        raw = dict(texts)[r["doc_id"]].encode()
+        image = [list((raw + bytes(-len(raw) % 64))[i : i + 64]) for i in range(0, len(raw), 64)]
+        small = plain_resize(image, 8, 9)
+        bits = "".join("01"[small[y, x + 1] > small[y, x] + 1e-9] for y in range(8) for x in range(8))
+        assert r["feature"] == f"{int(bits, 2):016x}"
+        tile = np.load(io.BytesIO(r["tile"]))
+        assert tile.dtype == np.uint8 and tile.shape == (64, 64) and np.abs(tile - plain_resize(image, 64, 64)).max() <= 0.5 + 1e-6
+
+
 def test_texts_as_images(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], "doc_id long, text string, MEDIA string")
     got = media.text_media(df).collect()
