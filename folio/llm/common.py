@@ -47,6 +47,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 128, most: int = 1 <<
             yield batch.slice(i, step)
 
 
+#: Groups with over one in HOT of the rows are fewer than HOT, and few enough to broadcast.
+HOT = 10_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
+    """``rows`` joined to their ``groups`` by ``key``; both are stored, and ``size`` is a group's number of rows.
+
+    Large groups are broadcast to their rows, so that none of them meets in one task.
+    """
+    large = F.col("size") * HOT > (groups.agg(F.sum("size")).first()[0] or 0)
+    heavy = F.broadcast(groups.where(large))  # under HOT rows
+    light = rows.join(heavy, key, "left_anti").join(groups.where(~large), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def no_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -9,8 +9,7 @@ are grouped by their whole SHA-256, so that a false alarm costs a shuffled row a
 result. There are as many filters as the rows need, none is collected or broadcast, and rows stay
 where they are.
 
-Groups are counted before they shuffle. Those with over one in HOT of the flagged rows, fewer than HOT by their
-size, are broadcast to their rows, so that no large group meets in one task.
+Groups are counted before they shuffle, and large ones are broadcast to their rows (see ``with_group``).
 """
 
 from __future__ import annotations
@@ -24,14 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, numbered, pick, slices, stored
+from folio.llm.common import documents, numbered, pick, slices, stored, with_group
 from folio.llm.told import Told
 
 BITS_PER_ROW = 16
 PROBES = 4
 BLOCK = 1 << 18
 FLUSH = 1 << 20
-HOT = 10_000
 
 DIGEST = "doc_id long, text_sha256 binary, h long, part int"
 LEAST = -(1 << 63)
@@ -118,12 +116,9 @@ def repeats(keys: DataFrame, bits_per_row: int = BITS_PER_ROW, block: int = BLOC
 
 
 def _with_keepers(flagged: DataFrame, keep: Column) -> DataFrame:
-    """``flagged`` (stored) with the largest ``keep`` of the rows of one text, and their number."""
-    keepers = stored(flagged.groupBy("text_sha256").agg(F.max(keep).alias("keep"), F.count("*").alias("group_size")), "keepers")
-    hot = F.col("group_size") * HOT > flagged.count()
-    heavy = F.broadcast(keepers.where(hot))  # under HOT rows
-    light = flagged.join(heavy, "text_sha256", "left_anti").join(keepers.where(~hot), "text_sha256")
-    return flagged.join(heavy, "text_sha256").unionByName(light)
+    """``flagged`` (stored) with the largest ``keep`` of the rows of one text, and their number as ``size``."""
+    keepers = stored(flagged.groupBy("text_sha256").agg(F.max(keep).alias("keep"), F.count("*").alias("size")), "keepers")
+    return with_group(flagged, keepers, "text_sha256")
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +136,7 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     alone = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     own = F.coalesce("doc_id", F.lit(LEAST))
     grouped = _with_keepers(marked.where("maybe").drop("maybe"), own)
-    return alone.unionByName(grouped.select("doc_id", F.nullif("keep", F.lit(LEAST)).alias("keep_id"), "group_size", (own == F.col("keep")).alias("kept"), sha))
+    return alone.unionByName(grouped.select("doc_id", F.nullif("keep", F.lit(LEAST)).alias("keep_id"), F.col("size").alias("group_size"), (own == F.col("keep")).alias("kept"), sha))
 
 
 def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

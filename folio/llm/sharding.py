@@ -7,8 +7,8 @@ change of weight moves rows only into or out of the subtrees whose weights chang
 children keep their weights nothing moves. A shard that is added hangs in a region of its own, so it
 takes rows only into itself.
 
-A row's place in its shard (``slot``) is its rank by key, found from counts by shard and range of keys
-and from ranks within those, so no task holds a whole shard.
+A row's place in its shard (``slot``) is its rank by key: rows are range-partitioned by shard and key, and
+the rows of a shard in earlier parts are counted, so no task holds a whole shard.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, pick
+from folio.llm.common import documents, pick, stored
 
 SHARDS = 16
 RACKS, LEAVES = 2, 2  # of a region, of a rack
-RANGE = 1 << 14
 #: 13 hexadecimal digits, which a double holds without loss.
 STEPS = float(1 << 52)
 
@@ -80,15 +79,15 @@ def place(key: Column, shards: list[Shard]) -> Column:
 def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id") -> DataFrame:
     """``df`` with ``slot``: each row's rank in its shard by ``key``, gapless from 0.
 
-    Rows whose key is null come first. Rows with equal keys have places next to each other, in any order.
+    Rows whose key is null come first. Rows with equal keys have places next to each other, in any order;
+    they may lie in several parts, as the order of input decides between them.
     """
-    span = F.floor(F.col(key) / RANGE)
-    rows = df.withColumn("_span", F.coalesce(span, F.lit(-(1 << 62))).cast("long"))
-    own = "partition by {} order by {}"
-    sizes = rows.groupBy(shard, "_span").agg(F.count("*").alias("_n"))
-    ahead = sizes.withColumn("_ahead", F.expr(f"sum(_n) over ({own.format(shard, '_span')}) - _n")).drop("_n")
-    ranked = rows.withColumn("_rank", F.expr(f"row_number() over ({own.format(f'{shard}, _span', key)}) - 1"))
-    return ranked.join(ahead, [shard, "_span"]).withColumn("slot", (F.col("_ahead") + F.col("_rank")).cast("long")).drop("_span", "_ahead", "_rank")
+    ordered = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(shard, key, "_tie").sortWithinPartitions(shard, key, "_tie").drop("_tie")
+    placed = stored(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "placed")
+    sizes = placed.groupBy(shard, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ahead = sizes.withColumn("_ahead", F.expr(f"sum(_n) over (partition by {shard} order by _part) - _n - _first")).drop("_n", "_first")
+    found = placed.join(F.broadcast(ahead), [shard, "_part"])  # a row for each part, and one for each shard
+    return found.withColumn("slot", F.col("_ahead") + F.col("_at")).drop("_part", "_at", "_ahead")
 
 
 def sharded(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
