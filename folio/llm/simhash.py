@@ -10,6 +10,9 @@ box by box against the budgets, and only those that survive count as links.
 Only distinct fingerprints are compared, each named by the smallest id that has it. A key with over
 ``BUCKET`` fingerprints is dealt out in blocks, every pair of blocks to its own task, so no link is
 lost and no task grows. A bucket hands on a star for each of its groups, not all pairs.
+
+Three bits of 64 find only texts that are nearly the same. With more ``draws`` a text has as many
+fingerprints, each from the same hashes mixed anew, and texts link that are within three bits in any.
 """
 
 from __future__ import annotations
@@ -22,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, numbered, pick, slices, stored
+from folio.llm.common import documents, numbered, pick, slices, stored, with_group
 from folio.llm.components import components
+from folio.llm.told import Told
 
 SHINGLE = 3
+DRAWS = 1
+#: For stages on word shingles: words of a shingle, fingerprints of a text.
+STAGE_SHINGLE, STAGE_DRAWS = 5, 8
 DIFFER = 3
 BUCKET = 4096
 BOXES = 8
@@ -33,38 +40,55 @@ BUDGETS = [DIFFER * n // BOXES for n in range(1, BOXES + 1)]
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def fingerprint(text: str | None) -> int:
-    """Words end at ASCII white space; a bit is set if set in over half the shingles' hashes."""
+def _mixed(h: np.ndarray, draw: int) -> np.ndarray:
+    """The hashes of a draw; those of the first are the hashes themselves."""
+    if not draw:
+        return h
+    x = h + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, draws: int = DRAWS) -> np.ndarray:
+    """A fingerprint a draw. Words end at ASCII white space; a bit is set if set in over half the shingles' hashes."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.zeros(draws, np.uint64)
     line = b" ".join(words)
+    h = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.concatenate([_mixed(np.array([h(line, 42)], np.uint64), k) for k in range(draws)])
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *(ends[:-1]).tolist()]
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+    counts = np.zeros((draws, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        for k in range(draws):
+            part = np.ascontiguousarray(_mixed(hashes[i : i + (1 << 14)], k))
+            counts[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
 
+def _fingerprints(texts: pa.Array, shingle: int, draws: int) -> pa.Array:
+    found = [fingerprint(x, shingle, draws) for x in texts.to_pylist()]
+    flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) * draws + 1, draws, dtype=np.int32)), pa.array(flat))
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        found = np.array([fingerprint(x) for x in b["text"].to_pylist()], np.uint64).view(np.int64)
-        yield pa.record_batch([b["doc_id"], pa.array(found)], ["doc_id", "fp"])
 
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, draws: int = DRAWS) -> DataFrame:
+    """doc_id, fps: a fingerprint a draw; zeros for a text without a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.record_batch([b["doc_id"], _fingerprints(b["text"], shingle, draws)], ["doc_id", "fps"])
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def _keys() -> F.Column:
-    """The sixteen keys of ``fp``: two for each start, four bits of name above the boxes."""
+    """The sixteen keys of ``fp``: two for each start, with the draw and four bits of name above the boxes."""
     box = lambda i: F.shiftrightunsigned("fp", 8 * (i % BOXES)).bitwiseAND(F.lit(255))
     found = []
     for i in range(BOXES):
@@ -72,7 +96,8 @@ def _keys() -> F.Column:
             key = F.lit(2 * i + kind).cast("long")
             for k in own:
                 key = F.shiftleft(key, 8).bitwiseOR(box(i + k))
-            found.append(F.struct(F.lit(i).alias("start"), F.when(F.lit(kind == 1), key.bitwiseOR(F.lit(1 << 40))).otherwise(key).alias("key")))
+            key = key.bitwiseOR(F.lit(1 << 40)) if kind else key
+            found.append(F.struct(F.lit(i).alias("start"), key.bitwiseOR(F.shiftleft(F.col("draw").cast("long"), 41)).alias("key")))
     return F.array(*found)
 
 
@@ -152,7 +177,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): stars that connect just the reps (fp, rep) whose fingerprints link, directly or on."""
+    """(a, b): stars that connect just the reps of (draw, fp, rep) whose fingerprints of a draw link, directly or on."""
     keyed = distinct.select("fp", "rep", F.explode(_keys()).alias("k")).select("k.key", "k.start", "fp", "rep")
     hot = stored(keyed.groupBy("key").count().where(F.col("count") > bucket), "hot")
     if hot.isEmpty():
@@ -166,33 +191,55 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return sorted_rows.mapInArrow(_buckets, "a long, b long")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``df``: doc_id, fp, component_id (smallest id reachable, its own included).
-
-    A null text counts as empty; texts without a word have fingerprint zero and link like any other.
-    Rows without an id take part in no search: their component is that of their fingerprint, null if
-    only such rows have it. Repeated ids and rows keep one row each. Other columns are not read. An
-    empty table gives no rows.
+def _grouped(prints: DataFrame, bucket: int, draws: int) -> DataFrame:
+    """``prints`` (stored, with doc_id and fps) with component_id."""
+    distinct = stored(prints.groupBy("fps").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "distinct")
+    each = distinct.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("draw", "fp"))
+    if draws == 1:
+        edges = links(each, bucket)
+    else:  # texts that differ in one draw may be the same in another
+        heads = stored(each.groupBy("draw", "fp").agg(F.min("rep").alias("rep")), "heads")
+        same = each.withColumnRenamed("rep", "a").join(heads.withColumnRenamed("rep", "b"), ["draw", "fp"]).where("a <> b").select("a", "b")
+        edges = links(heads, bucket).unionByName(same)
+    named = components(edges)
+    whole = distinct.join(named, distinct.rep == named.node, "left").select("fps", "size", F.coalesce("component", "rep").alias("component_id"))
+    return with_group(prints, stored(whole, "components"), "fps")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, shingle: int = SHINGLE, draws: int = DRAWS) -> DataFrame:
+    """One row per row of ``df``: doc_id, fps, component_id (smallest id reachable, its own included).
+
+    A null text counts as empty; texts without a word have fingerprints of zero and link like any other.
+    Rows without an id take part in no search: their component is that of the rows with the same
+    fingerprints, null if only such rows have them. Repeated ids and rows keep one row each. Other columns
+    are not read. An empty table gives no rows.
     """
-    prints = stored(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    named = components(links(distinct.where("rep IS NOT NULL"), bucket))
-    whole = distinct.join(named, distinct.rep == named.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    prints = stored(fingerprints(df, id_col, text_col, shingle, draws), "fingerprints")
+    return _grouped(prints, bucket, draws).select("doc_id", "fps", "component_id")
+
 
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, draws: int = STAGE_DRAWS) -> DataFrame:
+    """``df`` with the smallest id of each group, all columns as they were.
 
-def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the smallest id of each group, all columns as they were; rows without an id stay."""
+    Rows without an id stay, and so do all rows that have the id of their group. Rows are written once, with
+    their fingerprints, and stay in their parts: each part is told which of its rows go.
+    """
     rows, names = numbered(df)
-    groups = near_groups(df, id_col, text_col)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    own = F.col(f"c{names.index(id_col)}").cast("long")
-    return rows.join(dropped, own == F.col("gone"), "left_anti").toDF(*names)
+
+    @F.arrow_udf("array<long>")
+    def look(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_fingerprints(texts.slice(i, 256), shingle, draws) for i in range(0, max(1, len(texts)), 256)])
+
+    c_id, c_text = (F.col(f"c{names.index(x)}") for x in (id_col, text_col))
+    rows = stored(rows.select("*", look(c_text).alias("fps"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "printed")
+    groups = _grouped(rows.select(c_id.cast("long").alias("doc_id"), "fps", "part", "n"), BUCKET, draws)
+    gone = Told(groups.where("doc_id <> component_id").select("part", "n"), "gone")
+    return rows.where(~gone.column("part", "n")).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(documents(spark, sf_dir))
-    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op9_simhash": op9_simhash}

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from folio.llm import exact_dedup, simhash
+from folio.llm import common, exact_dedup, simhash
 from folio.llm.components import components
 
 CASES = [
@@ -69,9 +69,9 @@ def test_filter_has_no_false_dismissals(spark, settings):
         assert sum(r["maybe"] for r in marked if times[r["h"]] == 1) < 20
 
 
-@pytest.mark.parametrize("hot", [exact_dedup.HOT, 2])
+@pytest.mark.parametrize("hot", [common.HOT, 2])
 def test_hot_group(spark, monkeypatch, hot):
-    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     df = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'Hot', 'text ' || id) as text")
     rows = exact_dedup.decide(df).where("group_size > 1").collect()
     assert len(rows) == 1667 and {r["keep_id"] for r in rows} == {4998} and sum(r["kept"] for r in rows) == 1
@@ -84,15 +84,25 @@ def test_empty_tables(spark):
     assert simhash.near_groups(none).count() == simhash.first_of_groups(none).count() == 0
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, size=3, draw=0):
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    h = [slow_mix(xxhash.xxh64_intdigest(s.encode(), 42), draw) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
+def slow_mix(x, draw):
+    if draw:
+        x = (x + draw * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        x ^= x >> 31
+    return x
+
+
 def slow_groups(prints):
-    """prints: (id, fingerprint); the smallest id reachable by links of at most three bits."""
+    """prints: (id, fingerprint or those of some draws); the smallest id reachable by links of at most three bits."""
+    prints = [(k, f if isinstance(f, list) else [f]) for k, f in prints]
     root = list(range(len(prints)))
 
     def find(x):
@@ -102,7 +112,7 @@ def slow_groups(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i][1] ^ prints[j][1]).bit_count() <= 3:
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i][1], prints[j][1])):
                 a, b = sorted((find(i), find(j)), key=lambda k: prints[k][0])
                 root[b] = a
     out = {}
@@ -131,12 +141,22 @@ def test_groups_against_brute_force(spark, bucket):
     rows = list(enumerate([*near_texts(220), "", " \t ", None, "One", "one"]))
     got = {r["doc_id"]: r for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
     prints = [(i, slow_fingerprint(t)) for i, t in rows]
-    assert [got[i]["fp"] & (2**64 - 1) for i, _ in rows] == [f for _, f in prints]
+    assert [got[i]["fps"][0] & (2**64 - 1) for i, _ in rows] == [f for _, f in prints]
     want = slow_groups(prints)
     assert len(set(want.values())) < len(rows) - 30
     assert {i: got[i]["component_id"] for i, _ in rows} == want
 
 
+def test_more_draws_against_brute_force(spark):
+    rows = list(enumerate([*near_texts(120), "", None, "a b c d", "a b c"]))
+    got = {r["doc_id"]: r for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, draws=4).collect()}
+    prints = [(i, [slow_fingerprint(t, 5, k) for k in range(4)]) for i, t in rows]
+    assert [[x & (2**64 - 1) for x in got[i]["fps"]] for i, _ in rows] == [f for _, f in prints]
+    want = slow_groups(prints)
+    assert len(set(want.values())) < len(set(slow_groups([(i, f[:1]) for i, f in prints]).values()))
+    assert {i: got[i]["component_id"] for i, _ in rows} == want
+
+
 @pytest.mark.parametrize("bucket", [4096, 5])
 def test_links_of_fingerprints_that_differ_a_little(spark, bucket):
     rng = random.Random(bucket)
@@ -151,7 +171,7 @@ def test_links_of_fingerprints_that_differ_a_little(spark, bucket):
             f = rng.choice([f, g])
     prints = list(enumerate(dict.fromkeys(prints)))
     signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in prints]
-    stars = simhash.links(spark.createDataFrame(signed, "fp long, rep long"), bucket)
+    stars = simhash.links(spark.createDataFrame([(0, *x) for x in signed], "draw int, fp long, rep long"), bucket)
     got = {i: i for i, _ in prints} | {r["node"]: r["component"] for r in components(stars).collect()}
     assert got == slow_groups(prints)
 
@@ -159,7 +179,7 @@ def test_links_of_fingerprints_that_differ_a_little(spark, bucket):
 def test_near_cases(cases):
     rows = simhash.near_groups(cases).collect()
     assert len(rows) == len(CASES)
-    assert {r["component_id"] for r in rows if r["doc_id"] in (3, 4, 8)} == {3} and all(r["fp"] == 0 for r in rows if r["doc_id"] in (3, 4, 8))
+    assert {r["component_id"] for r in rows if r["doc_id"] in (3, 4, 8)} == {3} and all(r["fps"] == [0] for r in rows if r["doc_id"] in (3, 4, 8))
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     out = simhash.first_of_groups(cases)
     assert out.columns == cases.columns and sorted(r[1] for r in out.collect() if r[1] is not None) == [1, 3, 5, 6, 7, 7]

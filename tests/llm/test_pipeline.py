@@ -22,7 +22,7 @@ def test_stages_keep_what_plain_versions_keep(spark, tmp_path, sf_dir):
         texts[lowered(r["text"])] = max(r["doc_id"], texts.get(lowered(r["text"]), -1))
     kept = sorted(texts.values())
     by_id = {r["doc_id"]: r["text"] for r in rows}
-    groups = slow_groups([(i, slow_fingerprint(by_id[i])) for i in kept])
+    groups = slow_groups([(i, [slow_fingerprint(by_id[i], 5, k) for k in range(8)]) for i in kept])
     want = {i for i in kept if groups[i] == i}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == want
