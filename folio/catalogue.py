@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import attribution, events, profiles, quality, routing, sequential, text
+from folio.operators import attribution, events, matching, profiles, quality, routing, scripts, sequential, text
 from folio.streaming import streams
 
-MODULES = [quality, text, attribution, routing, events, sequential, streams, profiles]
+MODULES = [quality, text, scripts, attribution, matching, routing, events, sequential, streams, profiles]
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def partial_ratio(a: str | None, b: str | None) -> int:
 
 def token_set_ratio(a: str | None, b: str | None) -> int:
     """Ratio of sets of words: shared words against those with what either has besides."""
-    x, y = set((a or "").lower().split()), set((b or "").lower().split())
+    x, y = (set(re.findall(r"\w+", (t or "").lower())) for t in (a, b))
     if not x or not y:
         return 0
     both = " ".join(sorted(x & y))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from folio.functions import fuzzy, splitting
+from folio.functions import cascade, fuzzy, splitting
 from folio.operators import quality, text  # noqa: F401
 
 
@@ -31,5 +31,6 @@ def register(spark: SparkSession) -> None:
     from folio.operators.sequential import _split
 
     spark.udf.register("segment_text", _split(splitting.split_segment))
+    spark.udf.register("attribute_speakers", cascade.attributed())
     spark.udf.register("fuzzy_ratio", fuzzy.scorer(fuzzy.ratio))
     spark.udf.register("token_set_ratio", fuzzy.scorer(fuzzy.token_set_ratio))

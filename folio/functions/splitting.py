@@ -77,3 +77,62 @@ def split_line(text: str, most: int = 250) -> list[str]:
         return by_quotation(text)
     parts = [f"{p.strip()}," for p in text.split(",")] if "," in text else text.split()
     return [p.rstrip(",") for p in packed([p for p in parts if p], most)]
+
+
+DIALOGUE_MARKS = '"“”\'—–'
+MIXED_FROM, MIXED_SHARE, ADVANCED_FROM, LONG_DIALOGUE = 150, 0.2, 100, 300
+TRANSITIONS = [
+    re.compile(r'"[^"]*",?\s+[A-Z][a-z]+\s+(?:said|asked|replied|whispered|shouted)'),
+    re.compile(r'[A-Z][a-z]+\s+(?:said|asked|replied|whispered|shouted)[^.]*\.\s*"'),
+    re.compile(r'"[^"]*"\s*[-–—]\s*[A-Z][a-z]+'),
+]
+
+
+def _parted(text: str, marks: str) -> tuple[list[str], list[str]]:
+    """Sentences with a mark of dialogue, and those without."""
+    with_marks, without = [], []
+    for s in sentences(text):
+        (with_marks if any(m in s for m in marks) else without).append(s)
+    return with_marks, without
+
+
+def mixed(text: str) -> bool:
+    """Over 150 characters of which dialogue and narrative have over a fifth each."""
+    talk, prose = (sum(map(len, x)) for x in _parted(text, DIALOGUE_MARKS))
+    return len(text) > MIXED_FROM and min(talk, prose) > MIXED_SHARE * (talk + prose)
+
+
+def needs_advanced(text: str) -> bool:
+    """Two changes of speaker, two sentences of either kind, or dialogue in a segment of over 300 characters."""
+    if len(text) < ADVANCED_FROM:
+        return False
+    talk, prose = map(len, _parted(text, DIALOGUE_MARKS.replace("–", "")))
+    return sum(len(p.findall(text)) for p in TRANSITIONS) >= 2 or min(talk, prose) >= 2 or (talk > 0 and len(text) > LONG_DIALOGUE)
+
+
+def _soft_end(piece: str, last: int) -> int | None:
+    """The last end of a paragraph, else of a sentence, among the ``last`` characters of a piece."""
+    for pattern, after in ((r"\n\n", 2), (r"[.!?]\s+", 1)):
+        found = [m.start() for m in re.finditer(pattern, piece[max(0, len(piece) - last) :])]
+        if found:
+            return max(0, len(piece) - last) + found[-1] + after
+    return None
+
+
+def scene_chunks(text: str, breaks: list[int], size: int = 2500, shared: int = 500) -> list[str]:
+    """Chunks of at most ``size`` characters.
+
+    One ends at the first break in its last fifth or its last ``shared`` characters, and the next begins there.
+    Others end at the last paragraph or sentence of their last ``shared`` characters, and the next begins
+    ``shared`` characters before the full size.
+    """
+    chunks, at, n = [], 0, len(text)
+    breaks = sorted(set(breaks))
+    while at < n:
+        full = min(at + size, n)
+        scene = next((b for b in breaks if at < b < full and (b > at + 0.8 * size or b > full - shared)), None)
+        piece = text[at : scene or full]
+        soft = _soft_end(piece, shared) if scene is None and full < n else None
+        chunks.append(piece[:soft].strip())
+        at = scene or (full if full == n else full - shared)
+    return chunks

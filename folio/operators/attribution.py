@@ -14,6 +14,7 @@ TAGS = "said|asked|replied|answered|whispered|shouted|exclaimed|muttered|cried|c
 THINK = "thought|wondered|realized|remembered|considered|decided|knew|felt|believed"
 #: Words that start stage directions, or are held by them (as substrings), in texts without marks.
 STAGE = ["enter ", "exit", "exeunt", "aside", "curtain", "prologue", "epilogue", "kneels", "sheathes", "the end"]
+#: Verbs of interaction, and words that start a line and are no names.
 INTERACTION = ["said", "replied", "asked", "whispered", "shouted", "told", "responded", "answered", "continued", "added", "called", "yelled", "muttered", "exclaimed"]
 NOT_NAMES = "('Chapter', 'The', 'This', 'That', 'Title', 'Author', 'Note', 'Narrator')"
 
@@ -69,21 +70,6 @@ C.add(
     "select a.conv_id, a.turn, coalesce(b.answer, a.speaker) as speaker, b.answer is not null as replaced, case when a.confidence < 0.8e0 and b.answer is null then 'AMBIGUOUS' else 'ATTRIBUTED' end as status from {attributed} a left join {answers} b on a.conv_id = b.conv_id and a.turn = b.turn",
     doc="Answers overlay pending lines by id; pending lines without one survive as AMBIGUOUS.",
 )
-C.add(
-    "name_contains_theta",
-    """
-select conv_id, turn, name, score from (select *, row_number() over (partition by conv_id, turn order by score desc, name) as place from (
-  select u.conv_id, u.turn, n.name, case when contains(u.text, n.name) then 0.85e0 else 0.7e0 end as score from {utterances} u join {names} n on contains(lower(u.text), lower(n.name))) t) r where place = 1""",
-    doc="The best name that a line contains; names are a small table of distinct ones.",
-)
-C.add(
-    "fuzzy_levenshtein",
-    """
-select a.name, b.name as other, cast(levenshtein(lower(a.name), lower(b.name)) as bigint) as distance, round(1e0 - levenshtein(lower(a.name), lower(b.name)) * 1e0 / greatest(length(a.name), length(b.name)), 9) as ratio
-from {names} a join {names} b on a.name < b.name""",
-    doc="Pairs of distinct names only, which are few; each pair once.",
-)
-
 C.add(
     "neighbor_majority",
     f"""
@@ -169,17 +155,10 @@ C.add(
     _prompt.replace("LINES", "array_join(transform(array_sort(collect_list(struct(place, line))), x -> concat(cast(x.place as string), '. ', x.line)), chr(10))"),
     _prompt.replace("LINES", "array_to_string(list(cast(place as varchar) || '. ' || line order by place), chr(10))"),
 )
-C.add(
-    "cache_keys",
-    f"""
-select doc_id, substring($sha(n$bits), 1, 16) as line_key, substring($sha('batch|' || n || '|User,Assistant'$bits), 1, 16) as batch_key, substring($sha('pov|' || substring(n, 1, 500)$bits), 1, 16) as pov_key
-from (select doc_id, trim(regexp_replace(text, '{SPACE}', ' '$g)) as n from {{documents}}) t""",
-    doc="Its pov_key is of the first 500 characters; ``cache_keys_whole`` has the reference's sample of words.",
-)
 #: Words that the key of a point of view is made of.
 POV_WORDS = 2000
 C.add(
-    "cache_keys_whole",
+    "cache_keys",
     f"""
 select doc_id, substring($sha(n$bits), 1, 16) as line_key, substring($sha('batch|' || n || '|User,Assistant'$bits), 1, 16) as batch_key,
   substring($sha('pov|' || $join($slice($split(n, ' '), 1, {POV_WORDS}), ' ')$bits), 1, 16) as pov_key

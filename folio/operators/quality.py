@@ -59,6 +59,8 @@ from (select *, quality * case when segment_too_short then 0.7e0 else 1e0 end *
 
 C.add("segment_validation", "select segment_id, quality, issues, refinement_applied, refined_quality, refined_text from {validated}")
 
+#: Patterns of inner life and of description that lower the confidence. Classes are spelled out, as
+#: the two dialects read ``\\s`` and ``\\w`` differently.
 INTERNAL = [
     r"(he|she|they|it)[ \t\n]+(thought|wondered|considered|realized|remembered|knew|felt|understood)",
     r"(his|her|their|its)[ \t\n]+(thoughts?|mind|memory|feelings?)",

@@ -37,8 +37,9 @@ from {{requests}} group by grouping sets ((model_id, instance_id), (model_id), (
 C.add(
     "request_metrics_rollup",
     """
-select model_id, date_trunc('day', ts) as day, date_trunc('hour', ts) as hour, count(*) as requests, round(sum(cost), 9) as cost from {requests} group by rollup (model_id, date_trunc('day', ts), date_trunc('hour', ts))""",
-    doc="Cost by hour, day and model, and in all, in one pass.",
+select model_id, cast(date_trunc('month', ts) as $ntz) as month, cast(date_trunc('day', ts) as $ntz) as day, cast(date_trunc('hour', ts) as $ntz) as hour, count(*) as requests, round(sum(cost), 9) as cost
+from {requests} group by rollup (model_id, date_trunc('month', ts), date_trunc('day', ts), date_trunc('hour', ts))""",
+    doc="Cost by hour, day, month and model, and in all, in one pass.",
 )
 C.add("request_cube", "select model_id, job_type, count(*) as requests, cast(sum(tokens) as bigint) as tokens from {requests} group by cube (model_id, job_type)")
 view("recent", "select * from (select *, row_number() over (partition by model_id order by ts desc, request_id desc) as age from {requests} where success) t where age <= 100")
@@ -72,12 +73,42 @@ select a.model_id, b.model_id as alternative, b.avg_cost < a.avg_cost * 0.5e0 as
 from {model_metrics} a join {model_metrics} b on a.model_id <> b.model_id and b.success_rate >= a.success_rate * 0.9e0 and (b.avg_cost < a.avg_cost * 0.5e0 or b.avg_time < a.avg_time * 0.7e0)""",
     doc="A join of two aggregates of one row a model.",
 )
+#: A day's budget in dollars, and the shares of it that warn and that are critical.
+BUDGET, WARNING, CRITICAL = 50.0, 0.7, 0.9
+
+
+def budget_sql(budget: float = BUDGET) -> str:
+    return f"""
+select day, round(cost, 9) as cost, case when cost >= {budget}e0 * {CRITICAL}e0 then 'critical' when cost >= {budget}e0 * {WARNING}e0 then 'warning' else 'ok' end as level, round(cost / {budget}e0, 9) as used
+from (select date_trunc('day', ts) as day, round(sum(cost), 12) as cost from {{requests}} group by date_trunc('day', ts)) t"""
+
+
+C.add("budget_alerts", budget_sql(0.005), doc="With a budget of 0.005, as the requests of the tables cost little; ``budget_sql`` takes any.")
+C.add("budget_alerts_usual", budget_sql(), doc="With the usual budget of a day.")
+C.add(
+    "instance_means",
+    """
+select r.instance_id, count(*) as requests, round(avg((tokens + 0.5e0 * tokens) / greatest(0.1e0, response_time)), 6) as tokens_per_second, round(avg(cast(tokens as double)), 6) as input_tokens,
+  round(avg(0.5e0 * tokens), 6) as output_tokens, round(avg(tokens * 1e0 / coalesce(m.context, 8192)), 9) as context_used,
+  round(avg(case when coalesce(m.rate, 0e0) > 0e0 then (tokens + 0.5e0 * tokens) / greatest(0.1e0, response_time) / m.rate else 1e0 end), 4) as cost_efficiency
+from {requests} r left join {models} m on r.model_id = m.model_id group by r.instance_id""",
+    doc="A running mean ends as the mean; an answer is taken as half as long as its request.",
+)
+C.add(
+    "recent_averages",
+    """
+with t as (select *, row_number() over (partition by job_type order by ts desc, request_id desc) as age, max(ts) over (partition by job_type) as latest from {requests})
+select job_type, cast(sum(case when ts > latest - interval 1 hour then 1 else 0 end) as bigint) as of_hour, round(avg(case when ts > latest - interval 1 hour then response_time end), 9) as mean_of_hour,
+  round(avg(case when age <= 10 then response_time end), 9) as mean_of_ten from t group by job_type""",
+    doc="Over the last hour and the last ten requests of each kind of job.",
+)
 C.add(
-    "budget_alerts",
+    "benchmark_statistics",
     """
-select day, round(cost, 9) as cost, case when cost >= 0.005e0 * 0.9e0 then 'critical' when cost >= 0.005e0 * 0.7e0 then 'warning' else 'ok' end as level, round(cost / 0.005e0, 9) as used
-from (select date_trunc('day', ts) as day, round(sum(cost), 12) as cost from {requests} group by date_trunc('day', ts)) t""",
-    doc="Daily budget of 0.005 (a parameter), as the requests of the tables are small; warnings at 70 %, critical at 90 %.",
+with o as (select model_id, response_time, row_number() over (partition by model_id order by response_time, request_id) - 1 as place, count(*) over (partition by model_id) as n from {requests} where success)
+select model_id, max(n) as n, round(avg(response_time), 8) as mean, median(response_time) as middle, max(case when place = floor(n * 0.95e0) then response_time end) as p95,
+  max(case when place = floor(n * 0.99e0) then response_time end) as p99, round(stddev_samp(response_time), 8) as spread, round(stddev_samp(response_time) / sqrt(max(n)), 8) as standard_error from o group by model_id""",
+    doc="Percentiles are the values at place floor(n * p); the spread is that of a sample.",
 )
 view(
     "advice",
@@ -149,47 +180,89 @@ WEIGHTS = {
     "balanced": dict(health=0.2, suitability=0.15, use_case=0.15, quality=0.15, speed=0.1, cost=0.1, capacity=0.1, json=0.05),
 }
 SCORES = ["health", "suitability", "use_case", "cost", "quality", "speed", "capacity", "json"]
+#: The strategy that follows the load: the balanced weights, and these times as much where the pool is over BUSY full.
+ADAPTIVE, BUSY = {"capacity": 2.0, "health": 1.5}, 0.8
+STRATEGIES = [*WEIGHTS, "adaptive"]
 
 
-def weighed(strategy: str) -> str:
-    return "least(1e0, " + " + ".join(f"{s}_score * {WEIGHTS[strategy][s]}e0" for s in SCORES) + ")"
+def weighed(strategy: str, of: str = "") -> str:
+    """The weighed sum of the scores; ``of`` names the offer that they are of."""
+    own = WEIGHTS.get(strategy, WEIGHTS["balanced"])
+    boost = lambda s: f" * case when {of}busy then {ADAPTIVE[s]}e0 else 1e0 end" if strategy == "adaptive" and s in ADAPTIVE else ""
+    return "least(1e0, " + " + ".join(f"{of}{s}_score * ({own[s]}e0{boost(s)})" for s in SCORES) + ")"
 
 
 view(
     "instances",
     f"""
-select m.*, coalesce(t.load, 0e0) as load, case when coalesce(t.requests, 0) = 0 then m.reliability else
+select m.*, coalesce(t.load, 0e0) as load, avg(coalesce(t.load, 0e0)) over () > {BUSY}e0 as busy, case when coalesce(t.requests, 0) = 0 then 0.5e0 when m.rate > 0e0 then least(1e0, t.tokens_per_second / m.rate) else 1e0 end as thrift,
+  case when coalesce(t.requests, 0) = 0 then m.reliability else
     0.3e0 * t.success_rate + 0.25e0 * (1e0 - t.load) + 0.25e0 * least(1e0, 1e0 / greatest(0.1e0, t.avg_time)) + 0.2e0 * ((m.speed_score + m.quality_score + m.reliability) / 3e0) end as health
 from {{models}} m left join (select *, (requests % 8) / 10e0 as load from {{model_metrics}}) t on m.model_id = t.model_id""",
 )
+
+
+def _offer(i: str, c: str) -> dict[str, str]:
+    """The scores of instance ``i`` for request ``c``."""
+    return {
+        "health": f"{i}.health",
+        "suitability": f"0.7e0 * {i}.health + 0.3e0 * {i}.thrift",
+        "use_case": f"case when contains({i}.use_cases, {c}use_case) then 1e0 else 0.5e0 end",
+        "cost": f"case when {i}.engine = 'local' then 1e0 else greatest(0e0, 1e0 - least(1e0, {c}tokens * 1.5e0 / 1000e0 * {i}.rate / 0.01e0)) end",
+        "quality": f"case {c}quality_needed when 'basic' then least({i}.quality_score * 1.2e0, 1e0) when 'high' then case when {i}.quality_score < 0.8e0 then {i}.quality_score * 0.8e0 else {i}.quality_score end else {i}.quality_score end",
+        "speed": f"case {c}urgency when 'critical' then {i}.speed_score * 1.5e0 when 'high' then {i}.speed_score * 1.2e0 when 'low' then least({i}.speed_score * 0.8e0, 1e0) else {i}.speed_score end",
+        "capacity": f"1e0 - {i}.load",
+        "json": f"case when {c}needs_json and not {i}.gives_json then 0.3e0 else 1e0 end",
+    }
+
+
+_offers = f"select c.doc_id, c.complexity, i.model_id, i.busy, {', '.join(f'{x} as {s}_score' for s, x in _offer('i', 'c.').items())} from {{characteristics}} c join {{instances}} i on i.context >= c.tokens"
+_routed = " union all ".join(f"select doc_id, complexity, model_id, '{s}' as strategy, round({weighed(s)}, 9) as score from ({_offers}) o" for s in STRATEGIES)
+#: On Spark: a request's offers are an array, made from the pool, which is one row, and so are the best of each
+#: strategy; no row moves.
+_scored = ", ".join(f"'{s}_score', {x}" for s, x in _offer("i", "").items())
+_best = ", ".join(
+    f"named_struct('strategy', '{s}', 'best', array_sort(transform(offers, o -> named_struct('less', -round({weighed(s, 'o.')}, 9), 'model_id', o.model_id))))" for s in STRATEGIES
+)
 view(
-    "offers",
+    "ranked",
     f"""
-select c.doc_id, c.complexity, i.model_id, i.health as health_score, 0.7e0 * i.health + 0.3e0 * 0.5e0 as suitability_score,
-  case when contains(i.use_cases, c.use_case) or c.use_case = 'analysis' and contains(i.use_cases, 'analysis') then 1e0 else 0.5e0 end as use_case_score,
-  case when i.engine = 'local' then 1e0 else greatest(0e0, 1e0 - least(1e0, c.tokens * 1.5e0 / 1000e0 * i.rate / 0.01e0)) end as cost_score,
-  case c.quality_needed when 'basic' then least(i.quality_score * 1.2e0, 1e0) when 'high' then case when i.quality_score < 0.8e0 then i.quality_score * 0.8e0 else i.quality_score end else i.quality_score end as quality_score,
-  case c.urgency when 'critical' then i.speed_score * 1.5e0 when 'high' then i.speed_score * 1.2e0 when 'low' then least(i.speed_score * 0.8e0, 1e0) else i.speed_score end as speed_score,
-  1e0 - i.load as capacity_score, 1e0 as json_score
-from {{characteristics}} c join {{instances}} i on i.context >= c.tokens""",
+select doc_id, complexity, inline(array({_best})) from (
+  select c.*, transform(filter(pool, i -> i.context >= tokens), i -> named_struct('model_id', i.model_id, 'busy', i.busy, {_scored})) as offers
+  from {{characteristics}} c join (select collect_list(struct(*)) as pool from {{instances}}) p on true) t""",
 )
 view(
     "routed",
-    f"""
-select *, row_number() over (partition by doc_id, strategy order by score desc, model_id) as place from (
-{" union all ".join(f"select doc_id, complexity, model_id, '{s}' as strategy, round({weighed(s)}, 9) as score from {{offers}}" for s in WEIGHTS)}) t""",
+    "select doc_id, complexity, strategy, o.model_id, -o.less as score, pos + 1 as place from (select doc_id, complexity, strategy, posexplode(best) as (pos, o) from {ranked}) t",
+    f"select *, row_number() over (partition by doc_id, strategy order by score desc, model_id) as place from ({_routed}) t",
 )
 C.add(
     "route_requests",
     """
+select doc_id, strategy, get(best, 0).model_id as chosen, -get(best, 0).less as score, get(best, 1).model_id as fallback1, get(best, 2).model_id as fallback2, get(best, 3).model_id as fallback3
+from {ranked} where size(best) > 0""",
+    """
 select doc_id, strategy, max(case when place = 1 then model_id end) as chosen, max(case when place = 1 then score end) as score, max(case when place = 2 then model_id end) as fallback1, max(case when place = 3 then model_id end) as fallback2, max(case when place = 4 then model_id end) as fallback3
 from {routed} where place <= 4 group by doc_id, strategy""",
-    doc="Each request against the six instances that can hold it; the join is with a dimension of fixed size.",
+    doc="Each request against the six instances that can hold it, in one pass over the requests.",
 )
 C.add(
     "routing_analytics",
     "select strategy, complexity, model_id, count(*) as requests, avg(cast(round(score * 1000000e0) as bigint)) as mean_score_millionths from {routed} where place = 1 group by grouping sets ((strategy, model_id), (strategy, complexity), (strategy))",
 )
+#: Requests that routing is reported on, and patterns that are listed.
+RECENT, PATTERNS = 100, 10
+C.add(
+    "recent_routing",
+    f"""
+with r as (select * from {{routed}} where place = 1 and strategy = 'balanced'),
+l as (select * from r order by doc_id desc limit {RECENT}),
+p as (select c.complexity || '|' || use_case as pattern, count(*) as n from {{characteristics}} c group by c.complexity || '|' || use_case order by n desc, pattern limit {PATTERNS})
+select 'model' as kind, cast(model_id as $string) as name, count(*) as requests from l group by model_id
+union all select 'complexity', complexity, count(*) from l group by complexity
+union all select 'pattern', pattern, n from p""",
+    doc="The last hundred requests by model and complexity, and the ten most frequent patterns of all.",
+)
 C.add(
     "dynamic_timeout",
     f"""

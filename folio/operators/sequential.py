@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import fuzzy, splitting
+from folio.functions import cascade, fuzzy, splitting
 from folio.operators import text  # noqa: F401  its views are named here
 from folio.sources.tables import load
 
@@ -36,20 +36,16 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", F.posexplode(_split(splitting.split_line)(F.col("line"))).alias("part_no", "part"))
 
 
-def best_match(left: DataFrame, right: DataFrame, score, above: int) -> DataFrame:
-    """The best of ``right``'s names for each of ``left``'s, strictly over a threshold; of equal ones the first by name.
+def attribute_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """conv_id, turn, speaker, confidence, rule, status: every line by the cascade, with the names (conv_id, name) of its conversation."""
+    known = names.groupBy("conv_id").agg(F.array_sort(F.collect_set("name")).alias("known"))
+    found = lines.join(known, "conv_id", "left").select("conv_id", "turn", cascade.attributed()("text", "known").alias("a")).select("conv_id", "turn", "a.*")
+    return found.withColumn("status", F.when(F.col("confidence") >= 0.8, "ATTRIBUTED").otherwise("PENDING_AI"))
 
-    Scores are computed on distinct pairs; ``right`` is a table of known names, which is small next to the lines.
-    """
-    names = right.select(F.col("name").alias("known")).distinct()
-    pairs = left.select("name").distinct().join(names, F.col("name") != F.col("known")).withColumn("score", fuzzy.scorer(score)("name", "known"))
-    best = Window.partitionBy("name").orderBy(F.desc("score"), "known")
-    return pairs.where(F.col("score") > above).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
-
-def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark, sf_dir, "utterances").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("name"))
-    return best_match(words, load(spark, sf_dir, "names"), fuzzy.token_set_ratio, 40)
+def cascade_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "utterances")
+    return attribute_lines(lines, lines.select("conv_id", F.col("speaker").alias("name")))
 
 
 def merged_profiles(names: pd.DataFrame, above: int = 85) -> pd.DataFrame:
@@ -151,7 +147,7 @@ def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "advanced_split": advanced_split,
     "long_lines": long_lines,
-    "fuzzy_top1": fuzzy_top1,
+    "cascade_attribution": cascade_attribution,
     "profile_merge": profile_merge,
     "circuit_breaker": circuit_breaker,
     "window_batches": window_batches,

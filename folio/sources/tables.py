@@ -66,7 +66,7 @@ view(
     "models",
     f"""
 select cast(model_id as bigint) as model_id, model_name, engine, speed_tier, quality_tier, cast(context as bigint) as context, rate,
-  ms / 1000e0 as usual_time, reliability, use_cases,
+  ms / 1000e0 as usual_time, reliability, use_cases, true as gives_json,
   coalesce(case speed_tier when 'slow' then 0.3e0 when 'medium' then 0.6e0 when 'fast' then 0.9e0 end, 0.6e0) as speed_score,
   coalesce(case quality_tier when 'basic' then 0.4e0 when 'medium' then 0.7e0 when 'high' then 1e0 end, 0.7e0) as quality_score
 from (values {_rows}) as t(model_id, model_name, engine, speed_tier, quality_tier, context, rate, ms, reliability, use_cases)""",
