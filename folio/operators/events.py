@@ -28,6 +28,15 @@ C.add(
     _slid.format(start=f"{floor_to('us', 1)} - unnest([0, 1, 2, 3, 4]) * {MINUTE}", view=""),
     doc="Windows of five minutes, one a minute: an event is in five of them.",
 )
+#: Minutes of the windows that rates are asked for.
+WINDOWS = [1, 5, 10, 60]
+C.add(
+    "rates",
+    " union all ".join(
+        f"select event_type, {w} as minutes, {floor_to('us', w)} as start_us, count(*) as events, count(*) / {w * 60}e0 as per_second from {{timed}} group by event_type, {floor_to('us', w)}" for w in WINDOWS
+    ),
+    doc="Rates over one, five and ten minutes and an hour, in tumbling windows.",
+)
 #: Bounds of the buckets of processing times, in seconds.
 BOUNDS = [0.1, 0.5, 1, 2.5, 5, 10, 30, 60, 300]
 view(
@@ -63,6 +72,65 @@ with m as (select *, row_number() over (partition by instance_id order by start_
 select instance_id, min(start_us) as from_us, max(start_us) + {60 * MINUTE} as to_us, count(*) as windows from m where ratio > 0.2e0 group by instance_id, island having count(*) >= 3""",
     doc="A condition that holds for three windows in a row or more: islands of true.",
 )
+#: Alerts as (name, group, metric, comparison, threshold, seconds it must hold, severity).
+RULES = [
+    ("SystemUnhealthy", "system", "health_status", "=", 0.0, 120, "critical"),
+    ("HighErrorRate", "system", "processing_failure_ratio", ">", 0.1, 300, "warning"),
+    ("ProcessingQueueBuildup", "system", "queue_size", ">", 100.0, 600, "warning"),
+    ("ServiceDown", "system", "up", "=", 0.0, 60, "critical"),
+    ("SparkJobFailureRate", "spark", "job_failure_ratio", ">", 0.2, 300, "warning"),
+    ("SparkJobTooLong", "spark", "job_seconds_p95", ">", 1800.0, 0, "warning"),
+    ("SparkExecutorFailure", "spark", "executor_rate", "<", -0.1, 120, "critical"),
+    ("SparkHighMemoryUsage", "spark", "spark_memory_bytes", ">", 8589934592.0, 300, "warning"),
+    ("KafkaConsumerLag", "kafka", "consumer_lag", ">", 1000.0, 300, "warning"),
+    ("KafkaProducerFailures", "kafka", "producer_failure_rate", ">", 0.01, 120, "critical"),
+    ("KafkaMessageRateDrop", "kafka", "message_rate", "<", 0.1, 600, "warning"),
+    ("KafkaPartitionImbalance", "kafka", "lag_spread", ">", 500.0, 900, "warning"),
+    ("LLMHighFailureRate", "llm", "llm_failure_ratio", ">", 0.1, 180, "warning"),
+    ("LLMSlowResponse", "llm", "llm_seconds_p95", ">", 30.0, 300, "warning"),
+    ("LLMPoolExhaustion", "llm", "pool_utilization", ">", 90.0, 300, "critical"),
+    ("LLMInstanceDown", "llm", "active_instances", "=", 0.0, 60, "critical"),
+    ("LowQualityScore", "quality", "quality_score", "<", 80.0, 600, "warning"),
+    ("HighValidationErrorRate", "quality", "validation_error_rate", ">", 0.05, 300, "warning"),
+    ("ProcessingAccuracyDrop", "quality", "ambiguous_ratio", ">", 0.3, 1800, "warning"),
+    ("AirflowDAGFailures", "airflow", "dag_failure_rate", ">", 0.01, 300, "critical"),
+    ("AirflowLongRunningTask", "airflow", "task_seconds_p95", ">", 3600.0, 0, "warning"),
+    ("AirflowTaskQueueBuildup", "airflow", "active_tasks", ">", 50.0, 900, "warning"),
+    ("HighCPUUsage", "resources", "cpu_percent", ">", 80.0, 600, "warning"),
+    ("HighMemoryUsage", "resources", "memory_bytes", ">", 17179869184.0, 600, "warning"),
+    ("DiskSpaceWarning", "resources", "disk_bytes", ">", 53687091200.0, 1800, "warning"),
+    ("DiskSpaceCritical", "resources", "disk_bytes", ">", 85899345920.0, 300, "critical"),
+]
+view(
+    "alert_rules",
+    "select alert, rule_group, metric, comparison, threshold, cast(seconds as bigint) as seconds, severity from (values "
+    + ", ".join(f"('{n}', '{g}', '{m}', '{c}', {t!r}e0, {s}, '{v}')" for n, g, m, c, t, s, v in RULES)
+    + ") as t(alert, rule_group, metric, comparison, threshold, seconds, severity)",
+)
+#: Samples of a metric at a time, a quarter of an hour apart, as the events give them.
+view(
+    "samples",
+    f"""
+with w as (select {floor_to('us', 15)} as at_us, count(*) as n, sum(case when event_type = 'error' then 1 else 0 end) * 1e0 / count(*) as errors, avg(value) as mean, max(value) as most, count(distinct user_id) as users
+  from {{timed}} group by {floor_to('us', 15)})
+select 'processing_failure_ratio' as metric, at_us, errors as sample from w union all select 'job_failure_ratio', at_us, errors from w union all select 'llm_failure_ratio', at_us, errors from w
+union all select 'quality_score', at_us, 100e0 - mean from w union all select 'cpu_percent', at_us, most from w union all select 'pool_utilization', at_us, most from w
+union all select 'message_rate', at_us, n / 900e0 from w union all select 'active_instances', at_us, cast(users as double) - 1e0 from w union all select 'queue_size', at_us, cast(n as double) from w""",
+)
+view(
+    "breaches",
+    """
+select alert, severity, seconds, s.metric, at_us, sample, case comparison when '>' then sample > threshold when '<' then sample < threshold else sample = threshold end as true_now
+from {samples} s join {alert_rules} r on s.metric = r.metric""",
+)
+C.add(
+    "alert_rules_fired",
+    """
+with i as (select *, row_number() over (partition by alert order by at_us) - row_number() over (partition by alert, true_now order by at_us) as island from {breaches})
+select alert, max(severity) as severity, min(at_us) as from_us, max(at_us) as to_us, count(*) as samples, max(at_us) - min(at_us) >= max(seconds) * 1000000 as fired from i where true_now group by alert, island""",
+    doc="Every rule against the samples of its metric: the islands where its condition is true, and whether one held for as long as the rule asks.",
+)
+C.add("alert_rule_list", "select alert, rule_group, metric, comparison, threshold, seconds, severity from {alert_rules}", doc="The twenty-six rules.")
 C.add(
     "metric_aggregates",
     "select event_type, count(*) as n, round(avg(value), 8) as mean, round(stddev_pop(value), 6) as spread, round(stddev_samp(value), 6) as sample_spread, min(value) as least, max(value) as most, median(value) as middle from {events} group by event_type",

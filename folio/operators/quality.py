@@ -173,6 +173,18 @@ ROW_ERRORS = ["missing_speaker", "missing_text", "dialogue_as_narrator", "narrat
 C.add("validator_errors", f"select segment_id, {' || '.join(f'case when {e} then {chr(39)}{e};{chr(39)} else {chr(39)}{chr(39)} end' for e in ROW_ERRORS)} as errors from {{flagged}}")
 C.add("consecutive_same_speaker", "select segment_id, consecutive_same_speaker from {flagged}")
 
+_any = ", ".join(f"max(case when {e} then 1 else 0 end) as {e}" for e in ROW_ERRORS)
+_list = " || ".join(f"case when {e} = 1 then '{e};' else '' end" for e in ROW_ERRORS)
+C.add(
+    "segment_dedupe",
+    f"""
+with s as (select f.*, s.confidence, case when f.text = lag(f.text) over (partition by f.conv_id order by f.turn) then 0 else 1 end as new_text from {{flagged}} f join {{segments}} s on f.conv_id = s.conv_id and f.turn = s.turn),
+i as (select *, sum(new_text) over (partition by conv_id order by turn) as island from s),
+g as (select conv_id, min(turn) as turn, max(text) as text, $argmin(speaker, turn) as speaker, max(confidence) as confidence, count(*) as merged_count, {_any} from i group by conv_id, island)
+select conv_id, turn, text, speaker, confidence, merged_count, {_list} as errors from g""",
+    doc="Neighbouring segments of one text as one: the first speaker, the highest confidence, the errors of all.",
+)
+
 view("row_errors", " union all ".join(f"select conv_id, '{e}' as type from {{flagged}} where {e}" for e in ROW_ERRORS))
 view(
     "single_use",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions import cascade, fuzzy, splitting
+from folio.functions import cascade, fuzzy, recovery, splitting
 from folio.operators import text  # noqa: F401  its views are named here
 from folio.sources.tables import load
 
@@ -48,6 +48,35 @@ def cascade_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_lines(lines, lines.select("conv_id", F.col("speaker").alias("name")))
 
 
+def recovered(segments: DataFrame, reach: int = 5) -> DataFrame:
+    """conv_id, turn, speaker, strategy of UNFIXABLE segments (conv_id, turn, speaker, text), by ``recovery.recover``.
+
+    A segment is looked at with ``reach`` neighbours on either side and with a line for each speaker of its
+    conversation, made from the attributed ones.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    own = F.struct("speaker", "text")
+    near = segments.withColumns({"before": F.collect_list(own).over(order.rowsBetween(-reach, -1)), "after": F.collect_list(own).over(order.rowsBetween(1, reach))})
+    known = segments.where(~F.col("speaker").isin(*recovery.NOBODY))
+    words = known.select("conv_id", "speaker", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("length(word) > 3")
+    words = words.groupBy("conv_id", "speaker", "word").count().withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "speaker").orderBy(F.desc("count"), "word")))
+    words = words.where("place <= 10").groupBy("conv_id", "speaker").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    habits = known.groupBy("conv_id", "speaker").agg(F.avg(F.length("text")).alias("size"), F.avg(F.expr("if(text rlike '[\"“”—–]' or contains(text, chr(39)), 1.0D, 0.0D)")).alias("talk"))
+    habits = habits.join(words, ["conv_id", "speaker"], "left").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "words", "size", "talk"))).alias("habits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [recovery.recover(t or "", list(x), list(y), [] if h is None else list(h)) for t, x, y, h in zip(b["text"], b["before"], b["after"], b["habits"])]
+            yield b[["conv_id", "turn"]].assign(speaker=[f[0] for f in found], strategy=[f[1] for f in found])
+
+    todo = near.where("speaker = 'UNFIXABLE'").join(habits, "conv_id", "left").select("conv_id", "turn", "text", "before", "after", "habits")
+    return todo.mapInPandas(run, "conv_id long, turn long, speaker string, strategy string")
+
+
+def recovery_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovered(load(spark, sf_dir, "segments").select("conv_id", "turn", "speaker", "text"))
+
+
 def merged_profiles(names: pd.DataFrame, above: int = 85) -> pd.DataFrame:
     """Profiles of one conversation, greedily merged: each into the first kept one that is like it."""
     kept: list[list] = []
@@ -148,6 +177,7 @@ QUERIES = {
     "advanced_split": advanced_split,
     "long_lines": long_lines,
     "cascade_attribution": cascade_attribution,
+    "recovery_strategies": recovery_strategies,
     "profile_merge": profile_merge,
     "circuit_breaker": circuit_breaker,
     "window_batches": window_batches,
