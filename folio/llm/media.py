@@ -143,9 +143,10 @@ def npy(image: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def thumbnail(image: np.ndarray, side: int = TILE) -> bytes:
-    """The image resized to a square of grey samples, as an NPY tile."""
-    return npy(np.rint(area_resize(grey(image), side, side)).astype(np.uint8))
+def thumbnail(image: np.ndarray, side: int = TILE, enlarge: bool = True) -> bytes:
+    """The image resized to a square of grey samples, as an NPY tile; a side that is shorter stays so without ``enlarge``."""
+    height, width = (side, side) if enlarge else (min(side, n) for n in image.shape[:2])
+    return npy(np.rint(area_resize(grey(image), height, width)).astype(np.uint8))
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -202,7 +203,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, n, raw in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"].to_pylist()):
             image = decode(raw)
             own = image.tobytes()
-            out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image):016x}", thumbnail(image)))
+            out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image):016x}", thumbnail(image, enlarge=False)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
         yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
@@ -211,7 +212,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts stored as images in the shared folder, read back from there and described, with their NPY tiles.
 
-    The tiles and hashes are written to the shared folder too, and the rows returned are read from there.
+    The tiles and hashes are written to the shared folder too, and the rows returned are read from there. Most
+    images are lower than a tile: they keep their height, as more rows would be made up.
     A null or empty text is an image of 64 zeros. Rows are handled one by one, so repeated ids and rows
     keep a row each; equal texts have equal values. Other columns are not read.
     """
