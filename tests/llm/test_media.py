@@ -83,7 +83,7 @@ def test_feature_and_tile_against_a_plain_version(spark):
         raw = dict(texts)[r["doc_id"]].encode()
         image = [list((raw + bytes(-len(raw) % 64))[i : i + 64]) for i in range(0, len(raw), 64)]
         small = plain_resize(image, 8, 9)
-        bits = "".join("01"[small[y, x + 1] > small[y, x] + 1e-9] for y in range(8) for x in range(8))
+        bits = "".join("01"[int(small[y, x + 1] > small[y, x] + 1e-9)] for y in range(8) for x in range(8))
         assert r["feature"] == f"{int(bits, 2):016x}"
         tile = np.load(io.BytesIO(r["tile"]))
         height = min(64, len(image))
