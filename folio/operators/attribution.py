@@ -132,13 +132,23 @@ select speaker, word, n, cast(place as bigint) as place from (select *, row_numb
 with w as (select speaker, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from {segments}), c as (select speaker, word, count(*) as n from w where length(word) > 3 group by speaker, word)
 select speaker, word, n, place from (select *, row_number() over (partition by speaker order by n desc, word) as place from c) t where place <= 10""",
 )
+#: Patterns of names of characters, with their confidences.
+CANDIDATES = [
+    (f"({NAME}) (?:{TAGS})", 0.9),
+    ("^([A-Z]+): ", 0.95),
+    ("(?:Mr|Mrs|Miss|Dr)[.] ([A-Z][a-z]+)", 0.85),
+    (f"({NAME}).s ", 0.7),
+    (f"({NAME}) (?:{THINK})", 0.6),
+]
+_candidates = """
+select upper(substring(name, 1, 1)) || lower(substring(name, 2)) as name, max(confidence) as confidence, count(*) as appearances from (FOUND) e
+where name is not null group by upper(substring(name, 1, 1)) || lower(substring(name, 2)) having max(confidence) >= 0.5e0 and count(*) >= 2"""
+_structs = ", ".join(f"named_struct('name', {found('text', p)}, 'confidence', {c}e0)" for p, c in CANDIDATES)
 C.add(
     "character_candidates",
-    f"""
-with e as (select {found("text", f"({NAME}) (?:{TAGS})")} as name, 0.9e0 as confidence from {{utterances}}
-  union all select {found("text", "^([A-Z]+): ")}, 0.95e0 from {{utterances}} union all select {found("text", "(?:Mr|Mrs|Miss|Dr)[.] ([A-Z][a-z]+)")}, 0.85e0 from {{utterances}}
-  union all select {found("text", f"({NAME}).s ")}, 0.7e0 from {{utterances}} union all select {found("text", f"({NAME}) (?:{THINK})")}, 0.6e0 from {{utterances}})
-select upper(substring(name, 1, 1)) || lower(substring(name, 2)) as name, max(confidence) as confidence, count(*) as appearances from e where name is not null group by upper(substring(name, 1, 1)) || lower(substring(name, 2)) having max(confidence) >= 0.5e0 and count(*) >= 2""",
+    _candidates.replace("FOUND", f"select inline(array({_structs})) from {{utterances}}"),
+    _candidates.replace("FOUND", " union all ".join(f"select {found('text', p)} as name, {c}e0 as confidence from {{utterances}}" for p, c in CANDIDATES)),
+    doc="All patterns in one pass over the lines.",
 )
 C.add(
     "name_set_ops",

@@ -36,6 +36,33 @@ def source(spark: SparkSession, path: str, schema: str = EVENTS, kind: str = "pa
     return reader.option("pathGlobFilter", name).format(kind).load(folder)
 
 
+def messages(rows: DataFrame, kind: str, key: str = "job_id") -> DataFrame:
+    """topic, key and value of rows as messages of a kind: JSON with the kind and the time, to the kind's topic."""
+    body = F.to_json(F.struct(F.lit(kind).alias("message_type"), F.current_timestamp().alias("timestamp"), *[F.col(f"`{c}`") for c in rows.columns]))
+    return rows.select(F.lit(events.TOPICS[kind]).alias("topic"), F.col(key).cast("string").alias("key"), body.alias("value"))
+
+
+def send(sent: DataFrame, to: str, kind: str = "json", **options: str) -> None:
+    """Messages to a folder, a part for each topic, or to the topics of a cluster with ``kind="kafka"``."""
+    if kind == "kafka":
+        sent.write.format("kafka").options(**({"kafka.bootstrap.servers": to, "kafka.compression.type": "snappy"} | options)).save()
+    else:
+        sent.write.mode("append").partitionBy("topic").format(kind).options(**options).save(to)
+
+
+def completion_notices(conversations: DataFrame) -> DataFrame:
+    """A message for every conversation whose turns are all there."""
+    done = events.C["job_completion"].on(conversations=conversations).where("complete")
+    return messages(done.select(F.col("conv_id").alias("job_id"), "seen"), "processing_complete")
+
+
+def dispatched(requests: DataFrame, known: DataFrame, workers: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Requests (job_id, ...) whose result is known (key, value), with it; and the rest, each with the worker its job belongs to."""
+    joined = requests.join(known.select(F.col("key").alias("_key"), F.col("value").alias("result")), F.col("job_id").cast("string") == F.col("_key"), "left")
+    rest = joined.where("_key IS NULL").drop("_key", "result").withColumn("worker", F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(workers)).cast("int"))
+    return joined.where("_key IS NOT NULL").drop("_key"), rest
+
+
 def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source(spark, f"{sf_dir}/events.parquet")
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE)
