@@ -363,7 +363,9 @@ def lettered(texts: pa.Array) -> pa.Array:
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose text has no letter, all columns as they were.
+    """``docs`` without the rows whose text is null or has no letter, all columns as they were.
+
+    Repeated ids and rows are told each for itself, and further columns may have any names.
 
     With a model these are the rows that are ``und``; where nothing was learned, every text is, and only
     its letters count.

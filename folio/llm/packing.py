@@ -89,20 +89,23 @@ def _bundled(limit: int):
     return run
 
 
-SWEPT = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("gap", pa.int64()), ("room", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
+SWEPT = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("gap", pa.int64()), ("room", pa.int64()), ("after", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 
 
 def _sweep(short: int):
-    """One part, sorted by size: (item, length, gap, room) of matches; what is left has nulls, its part and its rank there."""
+    """One part, sorted by size: (item, length, gap, room, after) of matches; what is left has nulls, its part and its rank there.
+
+    ``after`` is the room that a gap has at the end, in the row of the last item that it takes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, free, alone = TaskContext.get().partitionId(), [], 0
         held(("packing",), dict)
 
-        def rows(item: list, length: list, gap: list, room: list, rank: list) -> pa.RecordBatch:
+        def rows(item: list, length: list, gap: list, room: list, after: list, rank: list) -> pa.RecordBatch:
             n = max(len(item), len(gap))
             full = lambda x: pa.array(x, pa.int64()) if x else pa.nulls(n, pa.int64())
-            return pa.record_batch([*map(full, (item, length, gap, room)), pa.array(np.full(n, part, np.int32)), full(rank)], schema=SWEPT)
+            return pa.record_batch([*map(full, (item, length, gap, room, after)), pa.array(np.full(n, part, np.int32)), full(rank)], schema=SWEPT)
 
         for b in batches:
             taken, lone = [], []
@@ -110,21 +113,22 @@ def _sweep(short: int):
                 if not is_gap:
                     free.append((number, size))
                 elif free:
-                    taken.append((*free.pop(), number, size))
-                    size -= taken[-1][1]
-                    while free and free[-1][1] <= min(size, short):
-                        taken.append((*free.pop(), number, size))
-                        size -= taken[-1][1]
+                    item, length = free.pop()
+                    while free and free[-1][1] <= min(size - length, short):
+                        taken.append((item, length, number, size, None))
+                        size -= length
+                        item, length = free.pop()
+                    taken.append((item, length, number, size, size - length))
                 else:
                     lone.append((number, size))
             if taken:
                 yield rows(*map(list, zip(*taken)), [])
             if lone:
-                yield rows([], [], *map(list, zip(*lone)), list(range(alone, alone + len(lone))))
+                yield rows([], [], *map(list, zip(*lone)), [], list(range(alone, alone + len(lone))))
                 alone += len(lone)
         for i in range(0, len(free), 1 << 16):
             own = free[i : i + (1 << 16)]
-            yield rows(*map(list, zip(*own)), [], [], list(range(i, i + len(own))))
+            yield rows(*map(list, zip(*own)), [], [], [], list(range(i, i + len(own))))
 
     return run
 
@@ -155,15 +159,15 @@ def _round(state: DataFrame, rows: int, short: int) -> tuple[DataFrame, DataFram
     """Of about so many rows (is_gap, id, size): matches (item, length, gap, room), the rows after them, how many matches and items left."""
     spark = state.sparkSession
     ordered = state.repartitionByRange(-(-rows // ROWS), "size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id")
-    swept = stored(ordered.mapInArrow(_sweep(short), "item long, length long, gap long, room long, part int, rank long"), "swept")
+    swept = stored(ordered.mapInArrow(_sweep(short), "item long, length long, gap long, room long, after long, part int, rank long"), "swept")
     here, gaps, items = "item IS NOT NULL AND gap IS NOT NULL", "item IS NULL", "gap IS NULL"
     parts = swept.groupBy("part").agg(*[F.count_if(F.expr(x)).alias(n) for x, n in ((here, "here"), (gaps, "gaps"), (items, "items"))]).orderBy("part").collect()
     runs, first = [], 0
     for run in _carried([(r["part"], r["gaps"], r["items"]) for r in parts]):
         runs.append((*run, first))
         first += run[4]
-    matched = swept.where(here).select("item", "length", "gap", "room")
-    left = swept.where(f"NOT ({here})").withColumn("meet", F.lit(None).cast("long"))
+    matched = swept.where(here).select("item", "length", "gap", "room", "after")
+    left = swept.where(f"NOT ({here})")
     if runs:
         plan = F.broadcast(spark.createDataFrame(runs, "gap_part int, gap_rank long, item_part int, item_rank long, take long, first long"))
         gap_rows = swept.where(gaps).join(plan, F.expr("part = gap_part AND rank >= gap_rank AND rank < gap_rank + take"), "left")
@@ -171,9 +175,9 @@ def _round(state: DataFrame, rows: int, short: int) -> tuple[DataFrame, DataFram
         item_rows = swept.where(items).join(plan, F.expr("part = item_part AND rank < item_rank AND rank >= item_rank - take"), "left")
         item_rows = item_rows.select("item", "length", "gap", "room", "part", "rank", F.expr("first + item_rank - 1 - rank").alias("meet"))
         met = item_rows.where("meet IS NOT NULL").select("item", "length", "meet").join(gap_rows.where("meet IS NOT NULL").select("gap", "room", "meet"), "meet")
-        matched = stored(matched.unionByName(met.drop("meet")), "matched")
+        matched = stored(matched.unionByName(met.drop("meet").withColumn("after", F.col("room") - F.col("length"))), "matched")
         left = gap_rows.unionByName(item_rows).where("meet IS NULL")
-    shrunk = matched.groupBy("gap").agg(F.min(F.col("room") - F.col("length")).alias("size")).where("size > 0").select(F.lit(True).alias("is_gap"), F.col("gap").alias("id"), "size")
+    shrunk = matched.where("after > 0").select(F.lit(True).alias("is_gap"), F.col("gap").alias("id"), F.col("after").alias("size"))
     after = shrunk.unionByName(left.select(F.col("gap").isNotNull().alias("is_gap"), F.coalesce("gap", "item").alias("id"), F.coalesce("room", "length").alias("size")))
     n = sum(r["here"] for r in parts) + first
     rest = sum(r["items"] for r in parts) - first

@@ -185,7 +185,11 @@ def _written(path: str, end_id: int):
 
 
 def write_files(df: DataFrame, to: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Write the ids of all documents to files in the folder ``to``, in ascending doc_id order."""
+    """Write the ids of all documents to files in the folder ``to``, in ascending doc_id order.
+
+    Rows without an id come first; repeated ids and rows are written each for itself, in any order among them. A null
+    text is the end id alone. An empty table gives a folder without documents.
+    """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_written(path or default_path(), end_id), SEGMENTS).write.option("compression", "none").parquet(to)

@@ -54,3 +54,21 @@ def test_documents_stay_where_no_language_is_known(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     kept = corpus_pipeline.identified(spark, spark.createDataFrame(rows, schema), sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_stages_of_empty_tables_repeated_ids_and_clashing_names(spark, sf_dir, tmp_path):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "a", 1, "x", 0), (1, words.upper(), "en", "b", 2, "x", 0), (1, "other text", None, "c", 3, "x", 0), (None, None, "en", "d", 4, "x", 0), (2, words + " end", "en", "e", 5, None, 0), (3, "", "en", "f", 6, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT string, part int")
+    kept = corpus_pipeline.identified(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and sorted(r[4] for r in kept.collect()) == [1, 2, 3, 5]
+    kept = corpus_pipeline.exact(spark, kept, sf_dir)
+    assert kept.columns == docs.columns
+    left = [r[4] for r in kept.collect()]
+    assert sorted(left) in ([1, 3, 5], [2, 3, 5])
+    kept = corpus_pipeline.near(spark, kept, sf_dir)
+    assert kept.columns == docs.columns and sorted(r[4] for r in kept.collect()) in ([1, 3], [2, 3])
+    assert corpus_pipeline.pack(spark, kept, sf_dir).count() == 2

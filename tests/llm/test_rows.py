@@ -125,6 +125,32 @@ def test_whole_texts_match_known_licences(spark, cases):
     assert all(r["canonical_sha256"] == hashlib.sha256(b"").hexdigest() for r in found if r["doc_id"] in (2, 3))
 
 
+def plain_form(text):
+    """The canonical form in other words: lines, then letters and digits, then spellings."""
+    lines = [x for x in (text or "").split("\n") if not re.match(r"\W*(copyright\b.*\d{4}|\(c\)|©|all rights reserved)", x, re.I)]
+    words = re.findall(r"[^\s!-/:-@\[-`{-~«»–—―‘’‚“”„•…]+", "\n".join(lines).lower())
+    return " ".join(licences.SPELLINGS.get(w, w) for w in words)
+
+
+def test_whole_documents_of_the_corpus_are_found(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    known = {f"known {r['doc_id']}": "Copyright (c) 2001 A. Person\n" + r["text"].upper().replace(" ", " , ") for r in docs[::9] if r["text"]}
+    forms = {}
+    for name, text in sorted(known.items()):
+        forms.setdefault(plain_form(text), name)
+    forms.pop("", None)
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), licences.known_licences(spark, known)).collect()}
+    assert got == {r["doc_id"]: forms.get(plain_form(r["text"])) for r in docs}
+    assert len({x for x in got.values() if x}) >= len(forms) > 15
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert licences.scan(none, licences.known_licences(spark)).count() == 0
+    model = language.learn(language.labelled_rows(spark.createDataFrame([(i, "hello the world", "en") for i in range(9)], none.schema)))
+    assert language.identify(none, model).count() == language.with_language(none).count() == 0
+
+
 def test_standard_licence_files_match_however_they_are_wrapped(spark):
     isc = licences.KNOWN["ISC"].replace("that the above copyright", "that the above\ncopyright").replace("ISC License", "ISC License\n\nCopyright (c) 2020, A. Person")
     mit = licences.KNOWN["MIT"].removeprefix("MIT License\n\n").replace("OR\nCOPYRIGHT", "OR COPYRIGHT").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
