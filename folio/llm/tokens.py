@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import itertools
+import os
 import re
 import unicodedata
 
@@ -83,6 +84,7 @@ class WordEncoder:
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("this vocabulary has added tokens that are not found as they are written")
         self.added = {t.content.encode(): i.to_bytes(4, "little") for i, t in added.items()}
+        self.start = os.path.commonprefix([*self.added]) or b""
         self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")" if self.added else b"(?!)")
         self.words = Recent(most)
 
@@ -110,7 +112,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         raws = [(t or "").encode() for t in texts]
-        cut = {i: self.cuts.split(raw) for i, raw in enumerate(raws) if self.cuts.search(raw)}  # ordinary, added, ordinary ...
+        cut = {i: self.cuts.split(raw) for i, raw in enumerate(raws) if self.start in raw and self.cuts.search(raw)}  # ordinary, added, ordinary ...
         rows = [b" ".join(cut[i][::2] if i in cut else [raw]).lower().split() for i, raw in enumerate(raws)]
         self.words.turn()
         self._learn(self.words.missing(set(itertools.chain.from_iterable(rows))))
