@@ -143,6 +143,13 @@ def _stars_of(fp: np.ndarray, rep: np.ndarray, side: np.ndarray, start: int) ->
     return rep[moved], rep[least[moved]]
 
 
+def _to_first(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Does each row link to the first one of its bucket, at ``first``? All at once."""
+    differ = ONES[np.ascontiguousarray(rows[:, 5] ^ rows[first, 5]).view(np.uint8).reshape(-1, BOXES)]
+    chain = (rows[:, 4:5] + np.arange(BOXES)) % BOXES
+    return (np.take_along_axis(differ, chain, axis=1).cumsum(axis=1) <= BUDGETS).all(axis=1)
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -153,8 +160,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1)) + 1
         edges = np.concatenate([[0], cuts, [len(rows)]])
-        a, b = [], []
-        for k in np.flatnonzero(np.diff(edges) > 1):
+        size, first = np.diff(edges), np.repeat(edges[:-1], np.diff(edges))
+        ok = _to_first(rows, first)
+        whole = np.logical_and.reduceat(ok, edges[:-1])  # these buckets are stars of their first rows
+        star = np.repeat(whole, size) & (first != np.arange(len(rows)))
+        x, y = rows[star, 6], rows[first[star], 6]
+        a, b = [np.maximum(x, y)], [np.minimum(x, y)]
+        for k in np.flatnonzero((size > 2) & ~whole):
             r = rows[edges[k] : edges[k + 1]]
             side = (r[:, 3] == r[:, 2]) & (r[:, 1] != r[:, 2])
             x, y = _stars_of(np.ascontiguousarray(r[:, 5]).view(np.uint64), r[:, 6], side.astype(int), int(r[0, 4]))
