@@ -3,15 +3,15 @@
 Pieces and gaps are two tables of rows. A round range-sorts both together by size and sweeps every
 part from small to large: a gap takes the longest piece before it that is free, so each piece that is
 taken gets a gap that is its successor in the order. What a part cannot settle goes on: the gaps that
-found no piece are counted, and the pieces left over, and from these two numbers a part the rank of
-each says which gap of a later part takes which piece of an earlier one. Gaps shrink by what they
-took, pieces without a gap and the shrunk gaps meet again in the next round.
+found no piece are counted, and the pieces left over, and from these numbers a part the rank of each
+says which gap of a later part takes which pieces of an earlier one. Gaps shrink by what they took,
+pieces without a gap and the shrunk gaps meet again in the next round.
 
 It starts with as many gaps as the tokens fill. When a round places under one in SLOW of the pieces
 that are left, too few of the gaps fit them: these close, and as many new ones open as the pieces fill.
 
 So that short pieces do not take a round each, those under one in SHORT of a sequence go in bundles of up to
-that length until bundles no longer fit, and a gap takes several of that length in one sweep.
+that length until bundles no longer fit, and a gap takes several of up to one in MANY of a sequence in a round.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from folio.llm.tokens import END_ID, default_path, encoder, held, with_end
 
 CAPACITY = 4096
 SHORT = 16
+MANY = 4
 SLOW = 50
 #: Rows that a task sweeps, about.
 ROWS = 1 << 18
@@ -92,7 +93,7 @@ def _bundled(limit: int):
 SWEPT = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("gap", pa.int64()), ("room", pa.int64()), ("after", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 
 
-def _sweep(short: int):
+def _sweep(many: int):
     """One part, sorted by size: (item, length, gap, room, after) of matches; what is left has nulls, its part and its rank there.
 
     ``after`` is the room that a gap has at the end, in the row of the last item that it takes.
@@ -114,7 +115,7 @@ def _sweep(short: int):
                     free.append((number, size))
                 elif free:
                     item, length = free.pop()
-                    while free and free[-1][1] <= min(size - length, short):
+                    while free and free[-1][1] <= min(size - length, many):
                         taken.append((item, length, number, size, None))
                         size -= length
                         item, length = free.pop()
@@ -133,60 +134,68 @@ def _sweep(short: int):
     return run
 
 
-def _carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """From (part, gaps left, items left) of all parts in order: which runs of ranks meet.
+def _carried(left: list[tuple[int, int, int, int, int]], many: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """From (part, gaps left, least room of them, items left, longest of them) of all parts in order: which ranks meet.
 
-    (part of the gaps, first rank, part of the items, rank after the last, how many): gaps take the longest
-    items of earlier parts that are free. Two runs a part at most.
+    (part of the gaps, first rank, gaps; part of the items, rank after the last, items; items a gap): gaps take the
+    longest items of earlier parts that are free, several where all of a part's are at most ``many`` long and fit. There
+    are two runs a part at most.
     """
     free: list[list[int]] = []
     runs = []
-    for part, gaps, items in left:
+    for part, gaps, room, items, longest in left:
         at = 0
         while at < gaps and free:
-            take = min(free[-1][1], gaps - at)
-            runs.append((part, at, *free[-1], take))
+            own, n, size = free[-1]
+            each = max(1, room // size) if size <= many else 1
+            used = min(gaps - at, -(-n // each))
+            take = min(n, used * each)
+            runs.append((part, at, used, own, n, take, each))
+            at += used
             free[-1][1] -= take
-            at += take
             if not free[-1][1]:
                 free.pop()
         if items:
-            free.append([part, items])
+            free.append([part, items, longest])
     return runs
 
 
-def _round(state: DataFrame, rows: int, short: int) -> tuple[DataFrame, DataFrame, int, int]:
+def _round(state: DataFrame, rows: int, many: int) -> tuple[DataFrame, DataFrame, int, int]:
     """Of about so many rows (is_gap, id, size): matches (item, length, gap, room), the rows after them, how many matches and items left."""
     spark = state.sparkSession
     ordered = state.repartitionByRange(-(-rows // ROWS), "size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id")
-    swept = stored(ordered.mapInArrow(_sweep(short), "item long, length long, gap long, room long, after long, part int, rank long"), "swept")
+    swept = stored(ordered.mapInArrow(_sweep(many), "item long, length long, gap long, room long, after long, part int, rank long"), "swept")
     here, gaps, items = "item IS NOT NULL AND gap IS NOT NULL", "item IS NULL", "gap IS NULL"
-    parts = swept.groupBy("part").agg(*[F.count_if(F.expr(x)).alias(n) for x, n in ((here, "here"), (gaps, "gaps"), (items, "items"))]).orderBy("part").collect()
-    runs, first = [], 0
-    for run in _carried([(r["part"], r["gaps"], r["items"]) for r in parts]):
+    counts = [F.count_if(F.expr(x)).alias(n) for x, n in ((here, "here"), (gaps, "gaps"), (items, "items"))]
+    counts += [F.min(F.expr(f"if({gaps}, room, null)")).alias("least"), F.max(F.expr(f"if({items}, length, null)")).alias("longest")]
+    parts = swept.groupBy("part").agg(*counts).orderBy("part").collect()
+    runs, first, taken = [], 0, 0
+    for run in _carried([(r["part"], r["gaps"], r["least"] or 0, r["items"], r["longest"] or 0) for r in parts], many):
         runs.append((*run, first))
-        first += run[4]
+        first, taken = first + run[2], taken + run[5]
     matched = swept.where(here).select("item", "length", "gap", "room", "after")
     left = swept.where(f"NOT ({here})")
     if runs:
-        plan = F.broadcast(spark.createDataFrame(runs, "gap_part int, gap_rank long, item_part int, item_rank long, take long, first long"))
-        gap_rows = swept.where(gaps).join(plan, F.expr("part = gap_part AND rank >= gap_rank AND rank < gap_rank + take"), "left")
-        gap_rows = gap_rows.select("item", "length", "gap", "room", "part", "rank", F.expr("first + rank - gap_rank").alias("meet"))
+        plan = F.broadcast(spark.createDataFrame(runs, "gap_part int, gap_rank long, used long, item_part int, item_rank long, take long, each long, first long"))
+        gap_rows = swept.where(gaps).join(plan, F.expr("part = gap_part AND rank >= gap_rank AND rank < gap_rank + used"), "left")
+        gap_rows = gap_rows.select("item", "length", "gap", "room", "rank", F.expr("first + rank - gap_rank").alias("meet"))
         item_rows = swept.where(items).join(plan, F.expr("part = item_part AND rank < item_rank AND rank >= item_rank - take"), "left")
-        item_rows = item_rows.select("item", "length", "gap", "room", "part", "rank", F.expr("first + item_rank - 1 - rank").alias("meet"))
-        met = item_rows.where("meet IS NOT NULL").select("item", "length", "meet").join(gap_rows.where("meet IS NOT NULL").select("gap", "room", "meet"), "meet")
-        matched = stored(matched.unionByName(met.drop("meet").withColumn("after", F.col("room") - F.col("length"))), "matched")
+        item_rows = item_rows.select("item", "length", "gap", "room", "rank", F.expr("first + (item_rank - 1 - rank) div each").alias("meet"))
+        met = item_rows.where("meet IS NOT NULL").select("item", "length", "rank", "meet").join(gap_rows.where("meet IS NOT NULL").select("gap", "room", "meet"), "meet")
+        met = met.withColumns({"so_far": F.expr("sum(length) over (partition by meet order by rank desc)"), "total": F.expr("sum(length) over (partition by meet)")})
+        met = met.select("item", "length", "gap", F.expr("room - so_far + length").alias("room"), F.expr("if(so_far = total, room - total, null)").alias("after"))
+        matched = stored(matched.unionByName(met), "matched")
         left = gap_rows.unionByName(item_rows).where("meet IS NULL")
     shrunk = matched.where("after > 0").select(F.lit(True).alias("is_gap"), F.col("gap").alias("id"), F.col("after").alias("size"))
     after = shrunk.unionByName(left.select(F.col("gap").isNotNull().alias("is_gap"), F.coalesce("gap", "item").alias("id"), F.coalesce("room", "length").alias("size")))
-    n = sum(r["here"] for r in parts) + first
-    rest = sum(r["items"] for r in parts) - first
+    n = sum(r["here"] for r in parts) + taken
+    rest = sum(r["items"] for r in parts) - taken
     return matched, after, n, rest
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (columns of PIECES) with sequence_id and offset. Every round is written to the shared folder."""
-    spark, short = cut.sparkSession, max(1, capacity // SHORT)
+    spark, short, many = cut.sparkSession, max(1, capacity // SHORT), max(1, capacity // MANY)
     cut = stored(stored(cut, "pieces").mapInArrow(_bundled(short), f"{PIECES}, n long, bundle long, inner long"), "bundled")
     total, rest = cut.agg(F.sum("length"), F.count("*")).first()
     items = lambda rows, by: rows.groupBy(by).agg(F.sum("length").alias("size")).select(F.lit(False).alias("is_gap"), F.col(by).alias("id"), "size")
@@ -195,7 +204,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bundles, placed = True, []
     state = items(cut, "bundle").unionByName(gaps(0, opened))
     while rest:
-        matched, state, n, rest = _round(state, rest + still, short)
+        matched, state, n, rest = _round(state, rest + still, many)
         if n:
             placed.append(matched.select(F.lit(bundles).alias("bundles"), F.col("item").alias("id"), "gap", "room"))
         if rest and n * SLOW < rest:

@@ -102,7 +102,7 @@ MIXES = {
 }
 
 
-@pytest.mark.parametrize(("mix", "parts"), [("ones", 1), ("few sizes", 1), ("any", 1), ("short", 6)])
+@pytest.mark.parametrize(("mix", "parts"), [("ones", 1), ("few sizes", 1), ("any", 1), ("short", 6), ("few sizes", 9)])
 def test_packing_against_plain_best_fit(spark, monkeypatch, mix, parts):
     rng = random.Random(7)
     lengths = [MIXES[mix](rng) for _ in range(800)]
@@ -119,16 +119,28 @@ def test_query_packs_as_well_as_best_fit(spark, sf_dir):
     assert len(sequences(rows, 4096)) <= best_fit([r["length"] for r in rows], 4096) + 1
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_runs_of_ranks_are_a_plain_stack(seed):
     rng = random.Random(seed)
-    left = [(p, rng.randrange(6), rng.randrange(6)) for p in range(12)]
-    free, want = [], []
-    for part, gaps, items in left:
+    parts, size = [], 1
+    for p in range(12):
+        items = [size + k for k in range(rng.randrange(6))]
+        rooms = [size + 6] * rng.randrange(6)
+        parts.append((p, len(rooms), size + 6, len(items), max(items, default=0)))
+        size += rng.randrange(1, 4)
+    free, want = [], []  # one item a gap
+    for part, gaps, _, items, _ in parts:
         want += [((part, g), free.pop()) for g in range(min(gaps, len(free)))]
         free += [(part, k) for k in range(items)]
-    runs = packing._carried(left)
-    assert [((gp, g + k), (ip, i - 1 - k)) for gp, g, ip, i, n in runs for k in range(n)] == want
+    runs = packing._carried(parts, 0)
+    assert [((gp, g + k), (ip, i - 1 - k)) for gp, g, _, ip, i, n, _ in runs for k in range(n)] == want
+    room, longest = ({p[0]: p[k] for p in parts} for k in (2, 4))
+    seen = set()
+    for gp, g, used, ip, i, n, each in packing._carried(parts, 100):
+        assert ip < gp and each * longest[ip] <= room[gp] and used == -(-n // each) and n <= i
+        own = {(gp, g + k, "gap") for k in range(used)} | {(ip, i - 1 - k, "item") for k in range(n)}
+        assert not own & seen
+        seen |= own
 
 
 def test_token_files_read_back(docs, library):
