@@ -7,10 +7,10 @@ no more and no less often are merged: in the order of their shares, one joins th
 test of proportions tells them apart. What is left is a template.
 
 A template's purity is the share of good pages among its labelled ones, smoothed by WEIGHT more pages that
-are good as often as its host's are; the host's share is smoothed in the same way by the one of the same
-template on all hosts, this by that of all pages, and that by one half. So evidence reaches templates and
-hosts without a label of their own. Templates with a purity under PURE are rejected. Labelled pages are those
-that rules decide.
+are good as often as those of the same template on all hosts; their share is smoothed in the same way by the
+one of the host, this by that of all pages, and that by one half. So evidence reaches templates and hosts
+without a label of their own. Templates with a purity under PURE are rejected. Labelled pages are those that
+rules decide.
 
 Statistics are made on distinct (host, path with ``#``), counted before they shuffle; large groups are
 broadcast to their rows. Each level is written. Below a parent of under MANY_VALUES paths no value can be
@@ -100,10 +100,10 @@ def _rejected(leaves: DataFrame) -> DataFrame:
     counts = [F.sum("known").alias("known"), F.sum(F.col("known") - F.col("bad")).alias("good"), F.count("*").alias("size")]
     known, good, _ = leaves.agg(*counts).first()
     every = ((good or 0) + WEIGHT / 2) / ((known or 0) + WEIGHT)
-    shared = stored(leaves.groupBy("template").agg(*counts).withColumn("prior", _smoothed("good", "known", F.lit(every))).drop("known", "good"), "shared")
-    own = stored(with_group(leaves, shared, "template").drop("size"), "own")
-    hosts = stored(own.groupBy("host").agg(*counts), "hosts")
-    own = with_group(own.drop("known", "bad"), hosts, ["host"]).withColumn("prior", _smoothed("good", "known", F.col("prior"))).drop("known", "good", "size")
+    hosts = stored(leaves.groupBy("host").agg(*counts).withColumn("prior", _smoothed("good", "known", F.lit(every))).drop("known", "good"), "hosts")
+    own = stored(with_group(leaves, hosts, ["host"]).select("host", "template", "node", "prior"), "own")
+    shared = stored(leaves.groupBy("template").agg(*counts), "shared")
+    own = with_group(own, shared, "template").withColumn("prior", _smoothed("good", "known", F.col("prior"))).drop("known", "good", "size")
     nodes = leaves.groupBy("host", "node").agg(*counts).drop("size")
     purity = _smoothed("good", "known", F.col("prior"))
     return own.join(nodes, ["host", "node"]).select("host", "template", F.when(purity < PURE, "block").otherwise("allow").alias("verdict"))
@@ -168,10 +168,10 @@ t2 as (select t1.*, case when contains(t1.s2, '#') or (many >= 8 and n < 0.02e0
 t as (select *, case when len(seg) > 2 then x1 || '/' || x2 || '/' || regexp_replace(s3, '[^/]*#[^/]*', '?', 'g') when len(seg) > 1 then x1 || '/' || x2 else x1 end as template from t2),
 k as (select *, case when said is not null then 1 else 0 end as known, case when said = 'allow' then 1 else 0 end as good from t),
 every as (select (sum(good) + 2e0) / (sum(known) + 4e0) as share from k),
-shared as (select template, (sum(good) + 4e0 * any_value(share)) / (sum(known) + 4e0) as share from k, every group by template),
-hosts as (select host, sum(good) as good, sum(known) as known from k group by host),
+hosts as (select host, (sum(good) + 4e0 * any_value(share)) / (sum(known) + 4e0) as share from k, every group by host),
+shared as (select template, sum(good) as good, sum(known) as known from k group by template),
 own as (select host, template, sum(good) as good, sum(known) as known from k group by host, template),
-purity as (select o.host, o.template, (o.good + 4e0 * ((h.good + 4e0 * a.share) / (h.known + 4e0))) / (o.known + 4e0) as share
+purity as (select o.host, o.template, (o.good + 4e0 * ((a.good + 4e0 * h.share) / (a.known + 4e0))) / (o.known + 4e0) as share
   from own o join hosts h on o.host = h.host join shared a on o.template = a.template)
 select page_id, k.host, path, rule, coalesce(said, case when share < 0.3e0 then 'block' else 'allow' end) as verdict
 from k join purity q on k.host = q.host and k.template = q.template"""
