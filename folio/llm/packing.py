@@ -32,7 +32,7 @@ from folio.llm.tokens import END_ID, default_path, encoder, held, with_end
 CAPACITY = 4096
 SHORT = 16
 MANY = 4
-SLOW = 50
+SLOW = 10
 #: Rows that a task sweeps, about.
 ROWS = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
