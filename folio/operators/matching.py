@@ -1,16 +1,19 @@
 """Names that are like other names: candidates by equal keys, so that only pairs that may pass are scored.
 
-Two texts of lengths l and m with a ratio over t differ by at most k = ceil((1 - t) * (l + m)) - 1 letters that are put in
-or left out. Of k + 1 even segments of the one at least one is then unchanged in the other, at most k places away. So a pair
-meets under one of these segments, with its number and both lengths, whatever the table's size.
+What two texts of lengths l and m must reach tells how many letters they share in order at least, and in how many edits
+they differ at most. So they meet under a stretch of letters that is left of both when the others are put out, with both
+lengths; a pair that meets under one does share them, and no other pair is made. Where a text has over MOST such
+stretches, the pair meets under a segment: of k + 1 even segments of the one at least one is unchanged in the other after
+k edits, at most k places away.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,43 +23,60 @@ from folio.sources.tables import load
 
 #: What the ratio of a name must exceed, in hundredths.
 ABOVE = 80
+#: Keys of a text for one length of its partners, at most.
+MOST = 3000
+#: Keys that a task hands over at once.
+KEYS = 1 << 16
 
+#: Of a text's length: (length of a partner, letters shared at least, edits at most) for all lengths that a partner may have.
+Rule = Callable[[int], list[tuple[int, int, int]]]
 
-def _most(l: int, m: int, above: int) -> int:
-    return math.ceil((100 - above) * (l + m) / 100) - 1
 
+def ratio_over(above: int) -> Rule:
+    """Texts with a ratio over ``above``: an edit puts in or leaves out a letter."""
 
-def _lengths(n: int, above: int) -> range:
-    """Lengths that the other text may have."""
-    return range(max(1, math.ceil(n * above / (200 - above))), n * (200 - above) // above + 1)
+    def run(n: int) -> list[tuple[int, int, int]]:
+        lengths = range(max(1, math.ceil(n * above / (200 - above))), n * (200 - above) // above + 1)
+        most = [(m, math.ceil((100 - above) * (n + m) / 100) - 1) for m in lengths]
+        return [(m, (n + m - k + 1) // 2, k) for m, k in most if k >= abs(n - m)]
+
+    return run
 
 
 def _segments(n: int, k: int) -> list[tuple[int, int]]:
     return [(i * n // (k + 1), (i + 1) * n // (k + 1)) for i in range(k + 1)]
 
 
-def own_keys(text: str, above: int) -> list[str]:
-    """Keys of a text by its own segments, for every length that a partner may have."""
-    n = len(text)
-    return [f"{n},{m},{i},{text[a:b]}" for m in _lengths(n, above) if (k := _most(n, m, above)) >= 0 for i, (a, b) in enumerate(_segments(n, k))]
+def keys(text: str, rule: Rule, first: bool) -> Iterator[str]:
+    """Keys of a text, as the ``first`` of a pair or as the other; two texts that the rule lets pass share one."""
+    own = len(text)
+    for other, shared, edits in rule(own):
+        n, m = (own, other) if first else (other, own)
+        if math.comb(max(n, m), shared) <= MOST:
+            yield from {f"{n},{m},{''.join(x)}" for x in itertools.combinations(text, shared)}
+        elif first:
+            yield from (f"{n},{m},{i},{text[a:b]}" for i, (a, b) in enumerate(_segments(n, edits)))
+        else:
+            for i, (a, b) in enumerate(_segments(n, edits)):
+                yield from {f"{n},{m},{i},{text[j : j + b - a]}" for j in range(max(0, a - edits), min(m - (b - a), a + edits) + 1)}
 
 
-def other_keys(text: str, above: int) -> list[str]:
-    """Keys under which a text meets those whose segments it may hold."""
-    m, found = len(text), set()
-    for n in _lengths(m, above):
-        k = _most(n, m, above)
-        for i, (a, b) in enumerate(_segments(n, k)) if k >= 0 else ():
-            found.update(f"{n},{m},{i},{text[j : j + b - a]}" for j in range(max(0, a - k), min(m - (b - a), a + k) + 1))
-    return sorted(found)
+def _keyed(rule: Rule, first: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = ((name, key) for name, form in zip(*(c.to_pylist() for c in b.columns)) for key in keys(form, rule, first))
+            while part := list(itertools.islice(rows, KEYS)):
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*part)], ["name", "key"])
 
+    return run
 
-def _keys(of: Callable[[str, int], list[str]], above: int):
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([of(t, above) for t in texts])
 
-    return run
+def meeting(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
+    """(name, known): pairs of (name, form) and (known, form) whose forms share a key, some of them repeatedly."""
+    spark = left.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small tables have many keys
+    keyed = lambda df, x, first: df.select(x, "form").repartition(parts).mapInArrow(_keyed(rule, first), "name string, key string")
+    return keyed(left, "name", True).join(keyed(right, "known", False).withColumnRenamed("name", "known"), "key").select("name", "known")
 
 
 def _sorted_words(name: F.Column) -> F.Column:
@@ -72,13 +92,13 @@ def candidates(left: DataFrame, right: DataFrame, above: int = ABOVE) -> DataFra
     known = right.select(F.col("name").alias("known")).distinct().withColumn("form", _sorted_words(F.col("known"))).where("form <> ''")
     words = lambda df, x: df.select(x, F.explode(F.split("form", " ")).alias("key"))
     shared = words(names, "name").join(words(known, "known"), "key")
-    alike = names.select("name", F.explode(_keys(own_keys, above)("form")).alias("key")).join(known.select("known", F.explode(_keys(other_keys, above)("form")).alias("key")), "key")
-    return shared.unionByName(alike).select("name", "known").distinct()
+    return shared.select("name", "known").unionByName(meeting(names, known, ratio_over(above))).distinct()
 
 
 def best_match(left: DataFrame, right: DataFrame, above: int = ABOVE, score: Callable = fuzzy.token_set_ratio) -> DataFrame:
     """The best of ``right``'s names for each of ``left``'s, another one and strictly over a threshold; of equal ones the first by name."""
-    pairs = candidates(left, right, above).where("name <> known").withColumn("score", fuzzy.scorer(score)("name", "known")).where(F.col("score") > above)
+    scored = fuzzy.scorer(score).asNondeterministic()  # or the filter would score every pair again
+    pairs = candidates(left, right, above).where("name <> known").withColumn("score", scored("name", "known")).where(F.col("score") > above)
     best = Window.partitionBy("name").orderBy(F.desc("score"), "known")
     return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 

@@ -30,6 +30,29 @@ def test_best_matches_are_those_of_all_pairs(spark, above):
     assert got == want and len(want) > 10
 
 
+def syllables(seed, n):
+    rng = random.Random(seed)
+    return sorted({"".join(rng.choice(["en", "er", "th", "on", "an", "sch", "i"]) for _ in range(rng.randint(1, 7))) for _ in range(n)})
+
+
+def test_only_pairs_that_may_pass_are_scored(spark):
+    words = [w for w in syllables(1, 500) if len(w) < 15]
+    df = names(spark, words)
+    got = {tuple(r) for r in matching.candidates(df, df, 80).collect()}
+    want = {(a, b) for a in words for b in words if 200 * fuzzy.common(a, b) > 80 * (len(a) + len(b))}
+    assert got == want and len(want) > len(words)
+
+
+@pytest.mark.parametrize("most", [0, 20, matching.MOST])
+def test_keys_meet_for_all_pairs_that_pass(monkeypatch, most):
+    monkeypatch.setattr(matching, "MOST", most)
+    words = syllables(2, 150)
+    rules = [(matching.ratio_over(80), lambda a, b: 200 * fuzzy.common(a, b) > 80 * (len(a) + len(b)))]
+    for rule, passes in rules:
+        own, other = ({w: set(matching.keys(w, rule, first)) for w in words} for first in (True, False))
+        assert all(own[a] & other[b] for a in words for b in words if passes(a, b))
+
+
 def test_names_that_lines_hold(spark):
     lines = spark.createDataFrame([(1, 1, "Ann met Annabel"), (1, 2, "an ANN"), (1, 3, ""), (1, 4, "Al"), (1, 5, None), (2, 1, "nobody")], "conv_id long, turn long, text string")
     got = {(r["conv_id"], r["turn"]): (r["name"], r["score"]) for r in matching.name_contains(lines, names(spark, ["Ann", "Annabel", "Al", "", "Zed"])).collect()}
