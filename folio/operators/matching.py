@@ -43,6 +43,16 @@ def ratio_over(above: int) -> Rule:
     return run
 
 
+def distance_under(part: int) -> Rule:
+    """Texts with an edit distance under the ``part``-th of the longer one's length."""
+
+    def run(n: int) -> list[tuple[int, int, int]]:
+        most = [(m, (max(n, m) - 1) // part) for m in range(max(1, n - n // part), n * part // (part - 1) + 2)]
+        return [(m, max(n, m) - d, d) for m, d in most if d >= abs(n - m)]
+
+    return run
+
+
 def _segments(n: int, k: int) -> list[tuple[int, int]]:
     return [(i * n // (k + 1), (i + 1) * n // (k + 1)) for i in range(k + 1)]
 
@@ -117,8 +127,8 @@ def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of words whose edit distance is under a fifth of the longer one's length, each pair once."""
     found = words(spark, sf_dir).distinct()
-    # d edits are at most 2 d letters put in or left out: under a fifth of the longer one, a ratio of over 0.77
-    pairs = candidates(found, found, 77).where("name < known").withColumn("distance", F.levenshtein(F.lower("name"), F.lower("known")).cast("long"))
+    forms = found.withColumn("form", F.lower("name"))
+    pairs = meeting(forms, forms.withColumnRenamed("name", "known"), distance_under(5)).where("name < known").distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.lower("known")).cast("long"))
     ratio = F.round(1 - F.col("distance") / F.greatest(F.length("name"), F.length("known")), 9)
     return pairs.select("name", F.col("known").alias("other"), "distance", ratio.alias("ratio")).where("ratio > 0.8")
 

@@ -35,6 +35,15 @@ def syllables(seed, n):
     return sorted({"".join(rng.choice(["en", "er", "th", "on", "an", "sch", "i"]) for _ in range(rng.randint(1, 7))) for _ in range(n)})
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_only_pairs_that_may_pass_are_scored(spark):
     words = [w for w in syllables(1, 500) if len(w) < 15]
     df = names(spark, words)
@@ -47,7 +56,8 @@ def test_only_pairs_that_may_pass_are_scored(spark):
 def test_keys_meet_for_all_pairs_that_pass(monkeypatch, most):
     monkeypatch.setattr(matching, "MOST", most)
     words = syllables(2, 150)
-    rules = [(matching.ratio_over(80), lambda a, b: 200 * fuzzy.common(a, b) > 80 * (len(a) + len(b)))]
+    rules = [(matching.distance_under(5), lambda a, b: 5 * distance(a, b) < max(len(a), len(b)))]
+    rules.append((matching.ratio_over(80), lambda a, b: 200 * fuzzy.common(a, b) > 80 * (len(a) + len(b))))
     for rule, passes in rules:
         own, other = ({w: set(matching.keys(w, rule, first)) for w in words} for first in (True, False))
         assert all(own[a] & other[b] for a in words for b in words if passes(a, b))
