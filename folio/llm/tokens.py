@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import itertools
+import json
 import os
 import re
 import unicodedata
@@ -22,6 +23,14 @@ import pyarrow as pa
 WORDS_KEPT = 300_000
 END_ID = 1
 MARKS = b".,;:!?"
+#: Letters, marks and digits that the normaliser at most lower-cases, without the apostrophe, which can join a letter.
+COMMON = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+#: A word of these, in small letters, as the vocabulary's pre-tokenizer splits it.
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: The pre-tokenizer's pattern, as the vocabulary's file has it.
+SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words given to the library at once.
+GIVEN = 1024
 
 
 def default_path() -> str:
@@ -80,6 +89,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what is left of a text when they are cut out is ordinary
+        if SPLIT not in self.tokenizer.to_str():
+            raise ValueError("this vocabulary has a pre-tokenizer of another pattern")
+        self.pre_tokens = _for_pre_tokens(path)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("this vocabulary has added tokens that are not found as they are written")
@@ -88,26 +100,40 @@ class WordEncoder:
         self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")" if self.added else b"(?!)")
         self.words = Recent(most)
 
-    def _library(self, words: list[bytes], plain: bool) -> None:
-        """Give words to the library, thousands at a time. Plain ones are one pre-token each, so that a text
-        of them tells by its pre-tokens which ids are whose; the others are handed over one by one."""
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            given = b" ".join(part).decode() if plain else [w.decode() for w in part]
-            found = self.tokenizer.encode(given, is_pretokenized=not plain, add_special_tokens=False)
+    def _library(self, words: list[bytes], whole: bool) -> None:
+        """Give words to the library, many at a time; the pre-tokens or words of what it finds tell which ids are
+        whose. Those that are one pre-token each are not normalised or split; the others are handed over one by one."""
+        for i in range(0, len(words), GIVEN):
+            part = words[i : i + GIVEN]
+            if whole:
+                found = self.pre_tokens.encode(b" ".join(part).decode(), add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right") * 4).tolist()
             self.words.new.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
     def _learn(self, todo: list[bytes]) -> None:
-        """Ids of new words. A single mark after a letter is a pre-token of its own, so its word is learned without it."""
+        """Ids of new words. Words of common letters, marks and digits are learned by their pre-tokens: a single mark
+        after a letter is one of its own, the others are split as the library does."""
         ended = [w for w in todo if len(w) > 1 and w[-1] in MARKS and 97 <= w[-2] <= 122]
-        whole = set(todo).difference(ended)
-        whole.update(self.words.missing({w[:-1] for w in ended} | {w[-1:] for w in ended}))
-        plain = [w for w in whole if w.isalpha() or _plain(w.decode())]
-        self._library(plain, True)
-        self._library(list(whole.difference(plain)), False)
+        words = set(todo).difference(ended)
+        words.update(self.words.missing({w[:-1] for w in ended} | {w[-1:] for w in ended}))
+        whole, split, others = [], {}, []
+        for w in words:
+            if w.isalpha() or _plain(text := w.decode()):
+                whole.append(w)
+            elif COMMON.fullmatch(text):
+                split[w] = [x.encode() for x in PARTS.findall(text.lower())]
+            else:
+                others.append(w)
+        parts = set(itertools.chain.from_iterable(split.values()))
+        parts.difference_update(whole)
+        whole += self.words.missing(parts)
+        self._library(whole, True)
+        self._library(others, False)
         get = self.words.new.__getitem__
+        self.words.new.update([(w, b"".join(map(get, x))) for w, x in split.items()])
         self.words.new.update([(w, get(w[:-1]) + get(w[-1:])) for w in ended])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -123,6 +149,17 @@ class WordEncoder:
         return ids
 
 
+def _for_pre_tokens(path: str):
+    """The library's tokenizer for texts of pre-tokens with spaces between, in small letters and normal form."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.normalizer = None
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
 def _plain(word: str) -> bool:
     """Only letters, which the normaliser leaves alone."""
     return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)

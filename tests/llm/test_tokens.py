@@ -210,3 +210,13 @@ def test_a_difference_from_the_library_is_an_error():
     own = pieces.coder(pieces.default_path())
     with pytest.raises(ValueError, match="differ"):
         own.check([" the"], [[5]])
+
+
+def test_common_words_are_given_to_the_library_by_their_pre_tokens(monkeypatch):
+    own = tokens.WordEncoder(tokens.default_path())
+    given, library = [], own._library
+    monkeypatch.setattr(own, "_library", lambda words, whole: (given.extend(() if whole else words), library(words, whole)))
+    texts = ["heshou$$$ \xc9an\xc9. \xdf.%%% a1b22c $ x_y-z 12.5% \xe9\xe9!! the. <|EndOfText|> ~~ \xdcber-\xc9t\xe9; $$$", "it's we'LL 'tis \xd7a \u0130x e\u0301. \u4e2d\u6587, a\u00a0b \u00bd1 \u00aab."]
+    assert own.encode(texts) == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not set(texts[0].lower().encode().split()) & set(given)
+    assert b"it's" in given
