@@ -10,6 +10,8 @@ pieces without a gap and the shrunk gaps meet again in the next round.
 It starts with as many gaps as the tokens fill. When a round places under one in SLOW of the pieces
 that are left, too few of the gaps fit them: these close, and as many new ones open as the pieces fill.
 
+When what is left fits in one part, its rounds need no exchange and go on in the task that holds it.
+
 So that short pieces do not take a round each, those under one in SHORT of a sequence go in bundles of up to
 that length until bundles no longer fit, and a gap takes several of up to one in MANY of a sequence in a round.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,24 @@ def _bundled(limit: int):
 SWEPT = pa.schema([("item", pa.int64()), ("length", pa.int64()), ("gap", pa.int64()), ("room", pa.int64()), ("after", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 
 
+def _matches(rows: Iterable[tuple[bool, int, int]], free: list[tuple[int, int]], many: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """(item, length, gap, room, after) of (is_gap, id, size) in order, and the gaps that found none; ``free`` holds the items that are free."""
+    taken, lone = [], []
+    for is_gap, number, size in rows:
+        if not is_gap:
+            free.append((number, size))
+        elif free:
+            item, length = free.pop()
+            while free and free[-1][1] <= min(size - length, many):
+                taken.append((item, length, number, size, None))
+                size -= length
+                item, length = free.pop()
+            taken.append((item, length, number, size, size - length))
+        else:
+            lone.append((number, size))
+    return taken, lone
+
+
 def _sweep(many: int):
     """One part, sorted by size: (item, length, gap, room, after) of matches; what is left has nulls, its part and its rank there.
 
@@ -109,19 +129,7 @@ def _sweep(many: int):
             return pa.record_batch([*map(full, (item, length, gap, room, after)), pa.array(np.full(n, part, np.int32)), full(rank)], schema=SWEPT)
 
         for b in batches:
-            taken, lone = [], []
-            for is_gap, number, size in zip(*(b[c].to_pylist() for c in ("is_gap", "id", "size"))):
-                if not is_gap:
-                    free.append((number, size))
-                elif free:
-                    item, length = free.pop()
-                    while free and free[-1][1] <= min(size - length, many):
-                        taken.append((item, length, number, size, None))
-                        size -= length
-                        item, length = free.pop()
-                    taken.append((item, length, number, size, size - length))
-                else:
-                    lone.append((number, size))
+            taken, lone = _matches(zip(*(b[c].to_pylist() for c in ("is_gap", "id", "size"))), free, many)
             if taken:
                 yield rows(*map(list, zip(*taken)), [])
             if lone:
@@ -193,19 +201,60 @@ def _round(state: DataFrame, rows: int, many: int) -> tuple[DataFrame, DataFrame
     return matched, after, n, rest
 
 
+def _alone(capacity: int, many: int, bundles: bool, opened: int):
+    """All rounds of one part: (item, gap, room) of matches, and of what is left when bundles no longer fit either item or gap, and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("packing",), dict)
+        state, at = [x for b in batches for x in zip(*(b[c].to_pylist() for c in ("size", "is_gap", "id")))], opened
+
+        def rows(*columns: Iterable) -> Iterator[pa.RecordBatch]:
+            cols = [pa.array(c, pa.int64()) for c in columns]
+            yield pa.record_batch(cols, ["item", "gap", "room", "size"])
+
+        while state:
+            state.sort()
+            free: list[tuple[int, int]] = []
+            taken, lone = _matches(((is_gap, number, size) for size, is_gap, number in state), free, many)
+            if taken:
+                item, _, gap, room, _ = zip(*taken)
+                yield from rows(item, gap, room, [None] * len(item))
+            items = [(size, False, n) for n, size in free]
+            gaps = [(size, True, n) for n, size in lone] + [(after, True, gap) for *_, gap, _, after in taken if after]
+            if not items:
+                return
+            if len(taken) * SLOW < len(items):
+                if bundles:
+                    size, is_gap, number = zip(*items, *gaps)
+                    yield from rows(*([n if g is x else None for g, n in zip(is_gap, number)] for x in (False, True)), [None] * len(size), size)
+                    return
+                new = -(-sum(size for size, *_ in items) // capacity)
+                gaps = [(capacity, True, at + k) for k in range(new)]
+                at += new
+            state = items + gaps
+
+    return run
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (columns of PIECES) with sequence_id and offset. Every round is written to the shared folder."""
     spark, short, many = cut.sparkSession, max(1, capacity // SHORT), max(1, capacity // MANY)
     cut = stored(stored(cut, "pieces").mapInArrow(_bundled(short), f"{PIECES}, n long, bundle long, inner long"), "bundled")
-    total, rest = cut.agg(F.sum("length"), F.count("*")).first()
+    total, rest = cut.agg(F.sum("length"), F.count_if(F.expr("n = bundle"))).first()
     items = lambda rows, by: rows.groupBy(by).agg(F.sum("length").alias("size")).select(F.lit(False).alias("is_gap"), F.col(by).alias("id"), "size")
     gaps = lambda a, b: spark.range(a, b).select(F.lit(True).alias("is_gap"), "id", F.lit(capacity).cast("long").alias("size"))
     opened = still = -(-(total or 0) // capacity)
     bundles, placed = True, []
     state = items(cut, "bundle").unionByName(gaps(0, opened))
     while rest:
-        matched, state, n, rest = _round(state, rest + still, many)
-        if n:
+        if alone := rest + still <= ROWS:
+            done = stored(state.repartition(1).mapInArrow(_alone(capacity, many, bundles, opened), "item long, gap long, room long, size long"), "alone")
+            matched = done.where("item IS NOT NULL AND gap IS NOT NULL")
+            state = done.where("item IS NULL OR gap IS NULL").select(F.col("gap").isNotNull().alias("is_gap"), F.coalesce("gap", "item").alias("id"), "size")
+            n, rest = 0, state.where("NOT is_gap").count() if bundles else 0
+        else:
+            matched, state, n, rest = _round(state, rest + still, many)
+        if n or alone:
             placed.append(matched.select(F.lit(bundles).alias("bundles"), F.col("item").alias("id"), "gap", "room"))
         if rest and n * SLOW < rest:
             if bundles:

@@ -114,6 +114,16 @@ def test_packing_against_plain_best_fit(spark, monkeypatch, mix, parts):
     assert used <= plain + max(1, plain // 50)
 
 
+def test_rounds_of_one_part_go_on_without_an_exchange(spark, monkeypatch):
+    rng = random.Random(3)
+    lengths = [rng.choice([MIXES["any"], MIXES["short"]])(rng) for _ in range(600)]
+    df = spark.createDataFrame([(i, 0, 0, x, 0) for i, x in enumerate(lengths)], packing.PIECES).repartition(40)
+    monkeypatch.setattr(packing, "_round", lambda *_: pytest.fail("a round over several parts"))
+    rows = packing.pack(df, 64).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+    assert len(sequences(rows, 64)) <= best_fit(lengths, 64) + 1
+
+
 def test_query_packs_as_well_as_best_fit(spark, sf_dir):
     rows = packing.op1_packing(spark, sf_dir).collect()
     assert len(sequences(rows, 4096)) <= best_fit([r["length"] for r in rows], 4096) + 1
