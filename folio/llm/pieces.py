@@ -29,8 +29,8 @@ from folio.llm.common import documents, pick, slices
 from folio.llm.tokens import Recent, held
 
 MARK = "▁"
-UNITS_KEPT = 300_000
-TABLE_WIDTH, TABLE_ROWS = 32, 1024
+UNITS_KEPT = 400_000
+TABLE_WIDTH, TABLE_ROWS = 32, 4096
 NEVER = 1 << 40
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 UNIT = re.compile(rf"\n| *{LETTER}+(?=[.,])| *[^ \n]+| +")
@@ -66,6 +66,8 @@ class PieceCoder:
         self.unknown = self.library.unk_id()
         if any(MARK in p.lstrip(MARK) or "\n" in p or ENDED.search(p) for p in self.ids):
             raise ValueError("this vocabulary has pieces that cross units")
+        self.one = list(range(n))
+        self.decimal = list(map(str, self.one))
         self.units = Recent(most)
 
     def agenda(self, unit: str) -> list[int]:
@@ -173,14 +175,15 @@ class PieceCoder:
             parts.append(bytes(self.byte_of[i] for i in run).decode(errors="replace") if is_byte else "".join(self.surface.get(i, " ⁇ ") for i in run))
         return "".join(parts).removeprefix(" ")
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[str, list[int]]]]:
+    def encode(self, texts: list[str | None]) -> list[list[tuple[str, tuple[int, ...]]]]:
         """Each text's units as (their ids in decimals joined by commas, their ids)."""
         rows = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         self.units.turn()
         todo = self.units.missing(set(itertools.chain.from_iterable(rows)))
         found = self.agendas(todo)
         self.check(todo, found)
-        self.units.new.update((u, (",".join(map(str, i)), i)) for u, i in zip(todo, found))
+        one, text = self.one.__getitem__, self.decimal.__getitem__  # units share their numbers
+        self.units.new.update([(u, (",".join(map(text, i)), tuple(map(one, i)))) for u, i in zip(todo, found)])
         get = self.units.new.__getitem__
         return [list(map(get, r)) for r in rows]
 
@@ -196,7 +199,7 @@ def _coded(path: str, keep: bool):
             coded = own.encode(b["text"].to_pylist())
             ids = [",".join([u[0] for u in units]) for units in coded]
             numbers = [list(itertools.chain.from_iterable([u[1] for u in units])) for units in coded]
-            texts = own.library.decode(numbers)
+            texts = [own.library.decode(x) if x else "" for x in numbers]
             if keep:
                 yield pa.record_batch([b["doc_id"], pa.array(numbers, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
                 continue

@@ -40,6 +40,8 @@ def default_path() -> str:
 
 
 _held: dict[tuple, object] = {}
+#: New containers until Python looks for cycles: what is kept has none, and would be gone through again and again.
+LOOKS = (100_000, 20, 20)
 
 
 def held(key: tuple, make):
@@ -55,6 +57,7 @@ def held(key: tuple, make):
             pa.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
                 trim(0)
+        gc.set_threshold(*LOOKS)
         _held[key] = make()
     return _held[key]
 

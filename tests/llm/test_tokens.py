@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import gc
 import hashlib
 import random
 import zlib
@@ -230,3 +231,14 @@ def test_common_words_are_given_to_the_library_by_their_pre_tokens(monkeypatch):
     assert own.encode(texts) == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert not set(texts[0].lower().encode().split()) & set(given)
     assert b"it's" in given
+
+
+def test_kept_units_share_their_numbers_and_are_not_gone_through_for_cycles():
+    own = pieces.coder(pieces.default_path())
+    assert gc.get_threshold() == tokens.LOOKS
+    own.encode([" ".join(f"the{x}" for x in "abcdefghij")])
+    kept = [ids for u, (_, ids) in own.units.new.items() if u.startswith(" the")]
+    firsts = {i: x for ids in kept for i, x in zip(ids, ids)}
+    assert len(kept) == 10 and all(x is firsts[x] for ids in kept for x in ids)
+    gc.collect()
+    assert not any(gc.is_tracked(ids) for ids in kept)
