@@ -234,6 +234,7 @@ def test_common_words_are_given_to_the_library_by_their_pre_tokens(monkeypatch):
 
 
 def test_kept_units_share_their_numbers_and_are_not_gone_through_for_cycles():
+    tokens._held.clear()
     own = pieces.coder(pieces.default_path())
     assert gc.get_threshold() == tokens.LOOKS
     own.encode([" ".join(f"the{x}" for x in "abcdefghij")])
