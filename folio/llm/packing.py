@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import documents, pick, slices, stored
-from folio.llm.tokens import END_ID, default_path, encoder, held, with_end
+from folio.llm.tokens import BATCH, END_ID, default_path, encoder, held, with_end
 
 CAPACITY = 4096
 SHORT = 16
@@ -43,9 +43,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches):
+        for b in slices(batches, BATCH):
             ids, out = b["doc_id"].to_pylist(), [[] for _ in range(5)]
-            for doc, raw in zip(ids, enc.encode(b["text"].to_pylist())):
+            for doc, raw in zip(ids, enc.encode(b["text"])):
                 raw = with_end(raw, end_id)
                 n = len(raw) // 4
                 for k in range(0, n, capacity):

@@ -4,7 +4,8 @@ The vocabulary's pre-tokenizer drops white space and never joins across it, and
 cases, so a text's ids are those of its words one after the other. Added tokens (``<|endoftext|>``)
 are cut out of a text first, as they are written, and have their own ids, as in the library. Each
 Python worker keeps the ids of the words it has seen, in two generations of a bounded size, and gives
-only new words to the library.
+only new words to the library. Arrow splits many texts at once into words and tells which are equal, so
+that Python handles a word once a batch.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import itertools
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS_KEPT = 300_000
 END_ID = 1
@@ -31,6 +34,8 @@ PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words given to the library at once.
 GIVEN = 1024
+#: Texts that are encoded at once, at most.
+BATCH = 2048
 
 
 def default_path() -> str:
@@ -75,13 +80,10 @@ class Recent:
 
     def missing(self, keys: set) -> list:
         """Those of ``keys`` without a value; the others are safe in ``new`` from now on."""
-        todo = []
-        for k in keys.difference(self.new):
-            if k in self.old:
-                self.new[k] = self.old[k]
-            else:
-                todo.append(k)
-        return todo
+        lacking = keys.difference(self.new)
+        back = [k for k in lacking if k in self.old]
+        self.new.update([(k, self.old[k]) for k in back])
+        return [*lacking.difference(back)]
 
 
 class WordEncoder:
@@ -94,7 +96,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # what is left of a text when they are cut out is ordinary
         if SPLIT not in self.tokenizer.to_str():
             raise ValueError("this vocabulary has a pre-tokenizer of another pattern")
-        self.pre_tokens = _for_pre_tokens(path)
+        self.model, self.letters = self.tokenizer.model, _letters()
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("this vocabulary has added tokens that are not found as they are written")
@@ -104,17 +106,21 @@ class WordEncoder:
         self.words = Recent(most)
 
     def _library(self, words: list[bytes], whole: bool) -> None:
-        """Give words to the library, many at a time; the pre-tokens or words of what it finds tell which ids are
-        whose. Those that are one pre-token each are not normalised or split; the others are handed over one by one."""
+        """Give words to the library. Those that are one pre-token each need no normaliser and no splitting and go to its
+        model; the others go many at a time, and the words of what it finds tell which ids are whose."""
+        new = self.words.new
+        if whole:
+            tokenize, number = self.model.tokenize, struct.Struct("<I").pack
+            for w in words:
+                text = w.decode() if w.isascii() else w.decode("latin-1").translate(self.letters)
+                new[w] = b"".join([number(t.id) for t in tokenize(text)])
+            return
         for i in range(0, len(words), GIVEN):
             part = words[i : i + GIVEN]
-            if whole:
-                found = self.pre_tokens.encode(b" ".join(part).decode(), add_special_tokens=False)
-            else:
-                found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right") * 4).tolist()
-            self.words.new.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+            new.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
     def _learn(self, todo: list[bytes]) -> None:
         """Ids of new words. Words of common letters, marks and digits are learned by their pre-tokens: a single mark
@@ -139,28 +145,42 @@ class WordEncoder:
         self.words.new.update([(w, b"".join(map(get, x))) for w, x in split.items()])
         self.words.new.update([(w, get(w[:-1]) + get(w[-1:])) for w in ended])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        raws = [(t or "").encode() for t in texts]
-        cut = {i: self.cuts.split(raw) for i, raw in enumerate(raws) if self.start in raw and self.cuts.search(raw)}  # ordinary, added, ordinary ...
-        rows = [b" ".join(cut[i][::2] if i in cut else [raw]).lower().split() for i, raw in enumerate(raws)]
+    def _ordinary(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        rows = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        words = rows.flatten().dictionary_encode()
+        own = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         self.words.turn()
-        self._learn(self.words.missing(set(itertools.chain.from_iterable(rows))))
-        get = self.words.new.__getitem__
-        ids = [b"".join(map(get, r)) for r in rows]
-        for i, parts in cut.items():
-            ids[i] = b"".join(self.added[x] if k % 2 else b"".join(map(get, x.lower().split())) for k, x in enumerate(parts))
+        self._learn(self.words.missing({*own}.difference((b"",))))
+        self.words.new[b""] = b""  # before a text's first white space and after its last
+        ids = pa.array([*map(self.words.new.__getitem__, own)], pa.large_binary()).take(words.indices)
+        _, ends, raw = ids.buffers()
+        ends = np.frombuffer(ends, np.int64) if len(ids) else np.zeros(1, np.int64)
+        raw = memoryview(raw or b"")
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy())])].tolist()
+        return [raw[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = {}  # texts with added tokens: ordinary, added, ordinary ...
+        if self.added:
+            for i in pc.indices_nonzero(pc.match_substring(texts, self.start.decode(errors="ignore")).fill_null(False)).to_pylist():
+                if len(parts := self.cuts.split(texts[i].as_py().encode())) > 1:
+                    odd[i] = parts
+        if not odd:
+            return self._ordinary(texts)
+        ids = self._ordinary(pc.if_else(pa.array([i in odd for i in range(len(texts))]), "", texts))
+        between = iter(self._ordinary(pa.array([x.decode() for parts in odd.values() for x in parts[::2]], pa.large_string())))
+        for i, parts in odd.items():
+            ids[i] = b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(parts))
         return ids
 
 
-def _for_pre_tokens(path: str):
-    """The library's tokenizer for texts of pre-tokens with spaces between, in small letters and normal form."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenizer.normalizer = None
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return tokenizer
+def _letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary's byte-level pre-tokens; those of printing ASCII are themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(others)}
 
 
 def _plain(word: str) -> bool:

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -233,6 +234,28 @@ def test_common_words_are_given_to_the_library_by_their_pre_tokens(monkeypatch):
     assert b"it's" in given
 
 
+@pytest.mark.parametrize("query", [packing])
+def test_words_of_a_batch_are_handled_once(monkeypatch, query):
+    own, missing, asked = tokens.WordEncoder(tokens.default_path()), tokens.Recent.missing, []
+    monkeypatch.setattr(tokens.Recent, "missing", lambda self, keys: asked.extend(keys) or missing(self, keys))
+    monkeypatch.setattr(query, "encoder", lambda _: own)
+    monkeypatch.setattr(query, "TaskContext", type("One", (), {"get": lambda: type("Part", (), {"partitionId": lambda: 0})}))
+    batch = pa.record_batch({"doc_id": range(1500), "text": [f"the text{i % 7} and\x0b the TEXT{i % 7}. " for i in range(1500)]})
+    run = packing._cut(tokens.default_path(), 4096, 1) if query is packing else token_files._written(tokens.default_path(), 1)
+    assert sum(b.num_rows for b in run(iter([batch])))
+    assert [asked.count(w) for w in (b"the", b"and", b"text3", b"text3.")] == [1] * 4
+
+
+def test_word_encoder_on_arrow_arrays(library):
+    own = tokens.WordEncoder(tokens.default_path())
+    want = [np.array(library(t)[:-1], "<u4").tobytes() for t in TEXTS]
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(TEXTS, kind)
+        assert own.encode(texts) == want
+        assert own.encode(texts.slice(2, 3)) == want[2:5] and own.encode(texts.slice(8, 1)) == want[8:9]
+        assert own.encode(texts.slice(0, 0)) == [] and own.encode(pa.nulls(2, kind)) == [b""] * 2
+
+
 def test_kept_units_share_their_numbers_and_are_not_gone_through_for_cycles():
     tokens._held.clear()
     own = pieces.coder(pieces.default_path())
