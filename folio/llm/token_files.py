@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import documents, pick, shared_dir, slices
-from folio.llm.tokens import END_ID, default_path, encoder, with_end
+from folio.llm.tokens import BATCH, END_ID, default_path, encoder, with_end
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -171,8 +171,8 @@ def _written(path: str, end_id: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, kinds)], ["part", "segment", "first_id", "n_ids", "n_docs", "payload"])
 
-        for b in slices(batches):
-            for doc, raw in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist())):
+        for b in slices(batches, BATCH):
+            for doc, raw in zip(b["doc_id"].to_pylist(), enc.encode(b["text"])):
                 docs.append(NULL_ID if doc is None else doc)
                 raws.append(with_end(raw, end_id))
                 held += len(raws[-1]) // 4

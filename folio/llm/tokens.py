@@ -151,9 +151,11 @@ class WordEncoder:
         words = rows.flatten().dictionary_encode()
         own = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         self.words.turn()
-        self._learn(self.words.missing({*own}.difference((b"",))))
         self.words.new[b""] = b""  # before a text's first white space and after its last
-        ids = pa.array([*map(self.words.new.__getitem__, own)], pa.large_binary()).take(words.indices)
+        found = [*map(self.words.new.get, own)]
+        self._learn(self.words.missing({w for w, x in zip(own, found) if x is None}))
+        found = [self.words.new[w] if x is None else x for w, x in zip(own, found)]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
         _, ends, raw = ids.buffers()
         ends = np.frombuffer(ends, np.int64) if len(ids) else np.zeros(1, np.int64)
         raw = memoryview(raw or b"")

@@ -234,7 +234,7 @@ def test_common_words_are_given_to_the_library_by_their_pre_tokens(monkeypatch):
     assert b"it's" in given
 
 
-@pytest.mark.parametrize("query", [packing])
+@pytest.mark.parametrize("query", [packing, token_files])
 def test_words_of_a_batch_are_handled_once(monkeypatch, query):
     own, missing, asked = tokens.WordEncoder(tokens.default_path()), tokens.Recent.missing, []
     monkeypatch.setattr(tokens.Recent, "missing", lambda self, keys: asked.extend(keys) or missing(self, keys))
