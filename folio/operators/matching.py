@@ -82,11 +82,15 @@ def _keyed(rule: Rule, first: bool):
 
 
 def meeting(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """(name, known): pairs of (name, form) and (known, form) whose forms share a key, some of them repeatedly."""
+    """(name, known): pairs of (name, form) and (known, form) whose forms share a key, some of them repeatedly.
+
+    Spark takes the keys for as many bytes as the names, of which each has hundreds; the hint keeps it from sending them to
+    the driver for a broadcast.
+    """
     spark = left.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small tables have many keys
     keyed = lambda df, x, first: df.select(x, "form").repartition(parts).mapInArrow(_keyed(rule, first), "name string, key string")
-    return keyed(left, "name", True).join(keyed(right, "known", False).withColumnRenamed("name", "known"), "key").select("name", "known")
+    return keyed(left, "name", True).join(keyed(right, "known", False).withColumnRenamed("name", "known").hint("merge"), "key").select("name", "known")
 
 
 def _sorted_words(name: F.Column) -> F.Column:

@@ -63,6 +63,15 @@ def test_keys_meet_for_all_pairs_that_pass(monkeypatch, most):
         assert all(own[a] & other[b] for a in words for b in words if passes(a, b))
 
 
+@pytest.mark.parametrize("rule", [matching.ratio_over(80), matching.distance_under(5)], ids=["ratio", "distance"])
+def test_keys_are_not_sent_to_the_driver(spark, rule):
+    forms = names(spark, syllables(3, 300)).selectExpr("name", "name form")
+    pairs = matching.meeting(forms, forms.withColumnRenamed("name", "known"), rule)
+    assert pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()  # the last, by the sizes of what has run
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_names_that_lines_hold(spark):
     lines = spark.createDataFrame([(1, 1, "Ann met Annabel"), (1, 2, "an ANN"), (1, 3, ""), (1, 4, "Al"), (1, 5, None), (2, 1, "nobody")], "conv_id long, turn long, text string")
     got = {(r["conv_id"], r["turn"]): (r["name"], r["score"]) for r in matching.name_contains(lines, names(spark, ["Ann", "Annabel", "Al", "", "Zed"])).collect()}
