@@ -81,38 +81,68 @@ def _keyed(rule: Rule, first: bool):
     return run
 
 
-def meeting(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """(name, known): pairs of (name, form) and (known, form) whose forms share a key, some of them repeatedly.
+def halves(rule: Rule) -> tuple[Rule, Rule]:
+    """The rule for partners that are as long or longer, and as long or shorter."""
+    return (lambda n: [x for x in rule(n) if x[0] >= n]), (lambda n: [x for x in rule(n) if x[0] <= n])
 
-    Spark takes the keys for as many bytes as the names, of which each has hundreds; the hint keeps it from sending them to
-    the driver for a broadcast.
-    """
+
+def _meeting(left: DataFrame, right: DataFrame, rule: Rule, other: Rule) -> DataFrame:
+    """Spark takes the keys for as many bytes as the names, of which each has hundreds; the hint keeps it from sending them to the driver for a broadcast."""
     spark = left.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small tables have many keys
-    keyed = lambda df, x, first: df.select(x, "form").repartition(parts).mapInArrow(_keyed(rule, first), "name string, key string")
-    return keyed(left, "name", True).join(keyed(right, "known", False).withColumnRenamed("name", "known").hint("merge"), "key").select("name", "known")
+    keyed = lambda df, x, rule, first: df.select(x, "form").repartition(parts).mapInArrow(_keyed(rule, first), "name string, key string")
+    return keyed(left, "name", rule, True).join(keyed(right, "known", other, False).withColumnRenamed("name", "known").hint("merge"), "key").select("name", "known")
+
+
+def meeting(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
+    """(name, known): pairs of (name, form) and (known, form) whose forms share a key, some of them repeatedly."""
+    return _meeting(left, right, rule, rule)
+
+
+def meeting_each_other(names: DataFrame, rule: Rule) -> DataFrame:
+    """(name, known): pairs of (name, form) whose forms share a key, the first by name first, some of them repeatedly.
+
+    The shorter one is the first of a pair, which leaves half of the keys.
+    """
+    pairs = _meeting(names, names.withColumnRenamed("name", "known"), *halves(rule)).where("name <> known")
+    return pairs.select(F.least("name", "known").alias("name"), F.greatest("name", "known").alias("known"))
 
 
 def _sorted_words(name: F.Column) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"(?U)\w+"), F.lit(0)))), " ")
 
 
+def _formed(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col("name").alias(name)).distinct().withColumn("form", _sorted_words(F.col(name))).where("form <> ''")
+
+
+def _sharing_a_word(names: DataFrame, known: DataFrame) -> DataFrame:
+    words = lambda df, x: df.select(x, F.explode(F.split("form", " ")).alias("key"))
+    return words(names, "name").join(words(known, "known"), "key").select("name", "known")
+
+
 def candidates(left: DataFrame, right: DataFrame, above: int = ABOVE) -> DataFrame:
     """(name, known): all pairs that may have a token set ratio over ``above``, and some others.
 
     They share a word, or the sorted words of both are alike as texts.
     """
-    names = left.select("name").distinct().withColumn("form", _sorted_words(F.col("name"))).where("form <> ''")
-    known = right.select(F.col("name").alias("known")).distinct().withColumn("form", _sorted_words(F.col("known"))).where("form <> ''")
-    words = lambda df, x: df.select(x, F.explode(F.split("form", " ")).alias("key"))
-    shared = words(names, "name").join(words(known, "known"), "key")
-    return shared.select("name", "known").unionByName(meeting(names, known, ratio_over(above))).distinct()
+    names, known = _formed(left, "name"), _formed(right, "known")
+    return _sharing_a_word(names, known).unionByName(meeting(names, known, ratio_over(above))).distinct()
+
 
+def candidates_among(names: DataFrame, above: int = ABOVE) -> DataFrame:
+    """The same for the names of one table, without pairs of a name with itself."""
+    names = _formed(names, "name")
+    shared = _sharing_a_word(names, names.withColumnRenamed("name", "known")).where("name < known")
+    pairs = shared.unionByName(meeting_each_other(names, ratio_over(above))).distinct()
+    return pairs.select(F.inline(F.array(F.struct("name", "known"), F.struct(F.col("known").alias("name"), F.col("name").alias("known")))))
 
-def best_match(left: DataFrame, right: DataFrame, above: int = ABOVE, score: Callable = fuzzy.token_set_ratio) -> DataFrame:
-    """The best of ``right``'s names for each of ``left``'s, another one and strictly over a threshold; of equal ones the first by name."""
+
+def best_match(left: DataFrame, right: DataFrame | None = None, above: int = ABOVE, score: Callable = fuzzy.token_set_ratio) -> DataFrame:
+    """The best of ``right``'s names (or its own) for each of ``left``'s, another one and strictly over a threshold; of equal ones the first by name."""
     scored = fuzzy.scorer(score).asNondeterministic()  # or the filter would score every pair again
-    pairs = candidates(left, right, above).where("name <> known").withColumn("score", scored("name", "known")).where(F.col("score") > above)
+    met = candidates_among(left, above) if right is None else candidates(left, right, above)
+    pairs = met.where("name <> known").withColumn("score", scored("name", "known")).where(F.col("score") > above)
     best = Window.partitionBy("name").orderBy(F.desc("score"), "known")
     return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
@@ -124,15 +154,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the lines that are like other words of them."""
-    found = words(spark, sf_dir).distinct()
-    return best_match(found, found)
+    return best_match(words(spark, sf_dir))
 
 
 def fuzzy_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of words whose edit distance is under a fifth of the longer one's length, each pair once."""
     found = words(spark, sf_dir).distinct()
-    forms = found.withColumn("form", F.lower("name"))
-    pairs = meeting(forms, forms.withColumnRenamed("name", "known"), distance_under(5)).where("name < known").distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.lower("known")).cast("long"))
+    pairs = meeting_each_other(found.withColumn("form", F.lower("name")), distance_under(5)).distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.lower("known")).cast("long"))
     ratio = F.round(1 - F.col("distance") / F.greatest(F.length("name"), F.length("known")), 9)
     return pairs.select("name", F.col("known").alias("other"), "distance", ratio.alias("ratio")).where("ratio > 0.8")
 

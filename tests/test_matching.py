@@ -63,6 +63,26 @@ def test_keys_meet_for_all_pairs_that_pass(monkeypatch, most):
         assert all(own[a] & other[b] for a in words for b in words if passes(a, b))
 
 
+def test_names_of_one_table_meet_as_those_of_two(spark):
+    words = [*syllables(4, 400), "Anth", "anth", "th en", "En th", "er th en", "th ern"]
+    got, want = (sorted(map(tuple, matching.best_match(names(spark, words), right).collect())) for right in (None, names(spark, words)))
+    assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("most", [0, 20, matching.MOST])
+def test_names_of_one_table_take_half_of_the_keys(monkeypatch, most):
+    monkeypatch.setattr(matching, "MOST", most)
+    words = syllables(5, 150)
+    rules = [(matching.distance_under(5), lambda a, b: 5 * distance(a, b) < max(len(a), len(b)))]
+    rules.append((matching.ratio_over(80), lambda a, b: 200 * fuzzy.common(a, b) > 80 * (len(a) + len(b))))
+    for rule, passes in rules:
+        keyed = lambda r, first: {w: set(matching.keys(w, r, first)) for w in words}
+        (longer, shorter), whole = matching.halves(rule), [keyed(rule, True), keyed(rule, False)]
+        own, other = keyed(longer, True), keyed(shorter, False)
+        assert all(own[a] & other[b] for a in words for b in words if len(a) <= len(b) and passes(a, b))
+        assert sum(len(x) for d in (own, other) for x in d.values()) < 0.7 * sum(len(x) for d in whole for x in d.values())
+
+
 @pytest.mark.parametrize("rule", [matching.ratio_over(80), matching.distance_under(5)], ids=["ratio", "distance"])
 def test_keys_are_not_sent_to_the_driver(spark, rule):
     forms = names(spark, syllables(3, 300)).selectExpr("name", "name form")
